@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality_rules
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 SQL = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
