@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import exact_dedup, mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
