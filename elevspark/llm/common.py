@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 def sliced(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20, col: str = "text") -> Iterator[pa.RecordBatch]:
     """Record batches cut so that one holds at most about ``max_bytes`` of text, or one row."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(col)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(col)).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > max_bytes:
