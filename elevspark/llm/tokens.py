@@ -18,6 +18,7 @@ ignored.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import re
@@ -32,7 +33,7 @@ from .common import SPACES, sliced, staged, staged_path, table, text_of
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Pieces that a worker remembers, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -58,40 +59,72 @@ class Encoder:
             rule = json.load(open(path))
             added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in rule["added_tokens"])
             split = next((p for p in (rule.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
+            mark = next((t for t in rule["added_tokens"] if t["special"] and not t["normalized"]), None)
+            self.mark = (mark["content"], mark["id"]) if mark else None
+            # Words and closing marks are separate and case is dropped: what ``encode`` needs to hold of the rule.
+            steps = [n["type"] for n in (rule.get("normalizer") or {}).get("normalizers", [])]
+            added = added and "Lowercase" in steps and "NFC" in steps
             self.by_piece = added and split is not None and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"].get("Regex", "")
         else:
             import sentencepiece
 
+            self.mark = None
             self.tok, self.by_piece = sentencepiece.SentencePieceProcessor(model_file=path), False
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        import array
-
         if self.path.endswith(".json"):
-            ids = (e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False))
+            ids = (e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False))
         else:
             ids = self.tok.encode(texts, num_threads=1)
         return [array.array("I", x).tobytes() for x in ids]
 
+    def _ask_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece. Many are asked for at once, with a special token between them, whose id tells them apart."""
+        if self.mark is None:
+            return dict(zip(pieces, self._ask(pieces), strict=True))
+        out, plain = {}, []
+        for p in pieces:
+            (out.setdefault(p, b"") if self.mark[0] in p else plain.append(p))
+        out = dict(zip(out, self._ask(list(out)), strict=True))
+        for i in range(0, len(plain), 256):
+            part = plain[i : i + 256]
+            ids = self.tok.encode_batch_fast([f" {self.mark[0]} ".join(part)], add_special_tokens=False)[0].ids
+            at = 0
+            for p in part[:-1]:
+                end = ids.index(self.mark[1], at)
+                out[p] = array.array("I", ids[at:end]).tobytes()
+                at = end + 1
+            out[part[-1]] = array.array("I", ids[at:]).tobytes()
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if not self.by_piece:
             return self._ask(texts)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        pieces = [_split(t) for t in texts]
-        new = {p for ps in pieces for p in ps if p not in known}
-        new = list(new)
-        extra: dict[str, bytes] = {}
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for p, ids in zip(part, self._ask(part), strict=True):
-                (known if len(p) <= LONGEST else extra)[p] = ids
-        if extra:
-            both = {**known, **extra}
-            return [b"".join(map(both.__getitem__, ps)) for ps in pieces]
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known, pieces = self.known, [_split(t) for t in texts]
+        new = set().union(*pieces).difference(known)
+        ask, made = set(), []
+        for p in new:
+            word = p.rstrip(".,;:!?")
+            if word != p or not word.islower():
+                # Letters up to U+012F have one lower-case letter each and no part in composition: such a word and its
+                # closing marks are separate tokens, and the word's case is immaterial.
+                if word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+                    low, marks = word.lower(), p[len(word) :]
+                    made.append((p, low, marks))
+                    ask.update(x for x in (low, marks) if x and x not in known)
+                    continue
+            ask.add(p)
+        got = self._ask_pieces(list(ask))
+        extra = {p: ids for p, ids in got.items() if len(p) > LONGEST}
+        known.update((p, ids) for p, ids in got.items() if len(p) <= LONGEST)
+        look = {**known, **extra} if extra else known
+        for p, low, marks in made:
+            ids = look[low] + look[marks] if marks else look[low]
+            look[p] = ids
+        return [b"".join(map(look.__getitem__, ps)) for ps in pieces]
 
 
 def _split(text: str) -> list[str]:

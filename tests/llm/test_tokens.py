@@ -4,7 +4,7 @@ from tokenizers import Tokenizer
 
 from elevspark.llm.tokens import Encoder, read_cache, token_counts, vocabulary_path
 
-TEXTS = ["", None, "Hello  world", "hello world ", "don't <|endoftext|>now<|startoftext|>", "été naïve", "a\x1cb c\x1dd", "a\xa0b  c\x85d", "日本語 текст 123 $%^ \U0001f600", "x" * 500, " \t\n\x0b\f\r", "İstanbul ß", "a ́b", "it's we'll I'M", "<|endoftext|> <| endoftext |>"]
+TEXTS = ["", None, "Hello  world", "hello world ", "don't <|endoftext|>now<|startoftext|>", "été naïve", "a\x1cb c\x1dd", "a\xa0b  c\x85d", "日本語 текст 123 $%^ \U0001f600", "x" * 500, " \t\n\x0b\f\r", "İstanbul ß", "a ́b", "it's we'll I'M", "Été, Hello! ĲSSEL... Ñandú;; word.word a.b, 1st. x2! It's. Don't, q' 'T. ¡Hola! \u01c5x. \u0130x, K\u212a. e\u0301t. \u0345a", "Word word, WORD. word", "<|endoftext|> <| endoftext |>"]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
