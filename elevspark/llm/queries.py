@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality_rules, tokens
+from . import exact_dedup, mixing, packing, quality_rules, secrets, tokens
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_pack_documents": packing.op5_pack_documents,
     "op6_token_counts": tokens.op6_token_counts,
+    "op8_scan_secrets": secrets.op8_scan_secrets,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
