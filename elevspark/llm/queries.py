@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality_rules, secrets, simhash, tokens
+from . import exact_dedup, langid, mixing, packing, quality_rules, secrets, simhash, tokens
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_language_id": langid.op3_language_id,
     "op4_simhash": simhash.op4_simhash,
     "op5_pack_documents": packing.op5_pack_documents,
     "op6_token_counts": tokens.op6_token_counts,
