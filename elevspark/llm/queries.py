@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, packing, quality_rules, secrets, simhash, tokens
+from . import exact_dedup, langid, mixing, packing, quality_rules, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_pack_documents": packing.op5_pack_documents,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_scan_secrets": secrets.op8_scan_secrets,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
