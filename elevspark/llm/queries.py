@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, packing, quality_rules, secrets, simhash, tokens, toxicity
+from . import exact_dedup, langid, mixing, packing, quality_model, quality_rules, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": tokens.op6_token_counts,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_scan_secrets": secrets.op8_scan_secrets,
+    "op9_quality_model": quality_model.op9_quality_model,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
