@@ -63,7 +63,8 @@ class Encoder:
             self.mark = (mark["content"], mark["id"]) if mark else None
             # Words and closing marks are separate and case is dropped: what ``encode`` needs to hold of the rule.
             steps = [n["type"] for n in (rule.get("normalizer") or {}).get("normalizers", [])]
-            added = added and "Lowercase" in steps and "NFC" in steps
+            tail = [n["type"] for n in (rule.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+            added = added and "Lowercase" in steps and "NFC" in steps and tail == ["Split", "ByteLevel"] and rule["model"]["type"] == "BPE"
             self.by_piece = added and split is not None and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"].get("Regex", "")
         else:
             import sentencepiece
@@ -105,28 +106,44 @@ class Encoder:
             self.known = {}
         known, pieces = self.known, [_split(t) for t in texts]
         new = set().union(*pieces).difference(known)
-        ask, made = set(), []
+        ask, lows, made = set(), set(), []
         for p in new:
             word = p.rstrip(".,;:!?")
-            if word != p or not word.islower():
-                # Letters up to U+012F have one lower-case letter each and no part in composition: such a word and its
-                # closing marks are separate tokens, and the word's case is immaterial.
-                if word.isalpha() and (word.isascii() or max(word) < "\u0130"):
-                    low, marks = word.lower(), p[len(word) :]
+            # Letters up to U+012F have one lower-case letter each and no part in composition: such a word and its
+            # closing marks are separate tokens, and the word's case is immaterial.
+            if word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+                low, marks = word.lower(), p[len(word) :]
+                lows.add(low)
+                if marks:
+                    ask.add(marks)
+                if p != low:
                     made.append((p, low, marks))
-                    ask.update(x for x in (low, marks) if x and x not in known)
-                    continue
-            ask.add(p)
+            else:
+                ask.add(p)
+        ask.difference_update(known)
+        tokenize = self.tok.model.tokenize
+        for low in lows.difference(known):  # normalised and split already: straight to the merges
+            form = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(_BYTE_LEVEL)
+            known[low] = array.array("I", [t.id for t in tokenize(form)]).tobytes()
         got = self._ask_pieces(list(ask))
         extra = {p: ids for p, ids in got.items() if len(p) > LONGEST}
         known.update((p, ids) for p, ids in got.items() if len(p) <= LONGEST)
         look = {**known, **extra} if extra else known
         for p, low, marks in made:
-            ids = look[low] + look[marks] if marks else look[low]
-            look[p] = ids
+            look[p] = look[low] + look[marks] if marks else look[low]
         return [b"".join(map(look.__getitem__, ps)) for ps in pieces]
 
 
+def _byte_level() -> dict[int, int]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 def _split(text: str) -> list[str]:
     """Pieces between ASCII white space. str.split() also cuts at other white space; those texts take the slow way."""
     if text.isascii() and not _ODD.search(text):
