@@ -91,3 +91,29 @@ def label_rows(labels: DataFrame, what: str) -> DataFrame:
 def bounded_sample(rows: DataFrame, bound: int, seed: int) -> DataFrame:
     """At most ``bound`` rows (doc_id, y), the first by a hash of the id: a top-k over two narrow columns."""
     return rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(bound)
+
+
+def kept_rows(docs: DataFrame, keys: dict[str, Column], stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are in ``stay`` (columns of the same names), each key once.
+
+    Rows alike in all keys are interchangeable: one of them stays. They are rare (an id that occurs
+    twice), so they are counted first and only they are grouped.
+    """
+    names = docs.columns
+    on = [f"key_{i}" for i in range(len(keys))]
+    rows = docs.select(F.struct(*names).alias("row"), *[c.alias(k) for k, c in zip(on, keys.values(), strict=True)])
+    stay = stay.select(*[F.col(n).alias(k) for k, n in zip(on, keys, strict=True)])
+    alike = staged(rows.groupBy(*on).agg(F.count("*").alias("times")).where("times > 1").select(*[F.col(k).alias("a" + k) for k in on]), "alike")
+    if not alike.isEmpty():
+        twice = _null_safe(rows, alike, on, "a")
+        one = rows.join(alike, twice, "left_semi").groupBy(*on).agg(F.first("row").alias("row")).select("row", *on)
+        rows = rows.join(alike, twice, "left_anti").unionByName(one)
+    stay = stay.select(*[F.col(k).alias("s" + k) for k in on])
+    return rows.join(stay, _null_safe(rows, stay, on, "s"), "left_semi").select("row.*")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], prefix: str) -> Column:
+    out = F.lit(True)
+    for k in on:
+        out = out & left[k].eqNullSafe(right[prefix + k])
+    return out

@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, staged, text_of
+from .common import SPACES, kept_rows, staged, text_of
 
 BLOCK_CHARS = 4096
 
@@ -126,23 +126,10 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, digest: Callabl
     A row is found again by its id and digest of the squeezed text; of rows alike in both and in
     length one stays.
     """
-    names = docs.columns
     out = groups(identities(docs, block_chars, digest))
-    stay = staged(out.where(F.col("rid") == F.col("keep_rid")).select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("n_points").alias("k_points")), "stay")
-    rows = docs.select(F.struct(*names).alias("row"), "doc_id", text_of().alias("text"))
-    rows = rows.select("row", "doc_id", F.length("text").cast("long").alias("n"), F.sha2(F.encode(squeezed(F.col("text")), "UTF-8"), 256).alias("sha"))
-    rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")) & (F.col("n") == F.col("k_points")), "left_semi")
-    return _first_of_alike(rows).select("row.*")
-
-
-def _first_of_alike(rows: DataFrame) -> DataFrame:
-    """Rows with one id, digest and length are one row. Ids seldom repeat, so few rows share a key."""
-    again = staged(rows.groupBy("doc_id", "sha", "n").agg(F.count("*").alias("c")).where("c > 1"), "alike")
-    if again.isEmpty():
-        return rows
-    on = rows["doc_id"].eqNullSafe(again["doc_id"]) & (rows["sha"] == again["sha"]) & (rows["n"] == again["n"])
-    alike = rows.join(again, on, "left_semi").groupBy("doc_id", "sha", "n").agg(F.first("row").alias("row")).select("row", "doc_id", "n", "sha")
-    return rows.join(again, on, "left_anti").select("row", "doc_id", "n", "sha").unionByName(alike)
+    stay = staged(out.where(F.col("rid") == F.col("keep_rid")).select("doc_id", "text_sha256", "n_points"), "stay")
+    sha = F.sha2(F.encode(squeezed(text_of()), "UTF-8"), 256)
+    return kept_rows(docs, {"doc_id": F.col("doc_id"), "text_sha256": sha, "n_points": F.length(text_of()).cast("long")}, stay)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_ep
     names = docs.columns
     by_source = staged(plan(staged(sized(docs, seed).select("source", "size", "digest"), "mix-sizes"), weights, budget, max_epochs), "mix-plan")
     rows = repeats(sized(docs.select(F.struct(*names).alias("row"), "doc_id", "source", "text"), seed).drop("text"), by_source)
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).where(F.col("copy") <= F.col("repeats")).select("row.*")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("repeats").cast("int")))).select("row.*")
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

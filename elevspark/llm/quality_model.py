@@ -211,15 +211,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return {"vectors": vectors, "network": net}
 
 
+def _scores(model: dict, tokens: Tokens, texts: list) -> np.ndarray:
+    if "share" in model or not texts:
+        return np.full(len(texts), model.get("share", 0.0))
+    return model["network"].score(np.stack([pooled(tokens.of(t), model["vectors"]) for t in texts]).astype(float))
+
+
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tokens = sent.value, Tokens()
+        tokens = Tokens()
         for batch in sliced(batches):
-            if "share" in model:
-                score = np.full(batch.num_rows, model["share"])
-            else:
-                score = model["network"].score(np.stack([pooled(tokens.of(t), model["vectors"]) for t in batch.column("text").to_pylist()]).astype(float))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in batch.schema.names if c not in ("doc_id", "text")), pa.array(score, pa.float64())], ["doc_id", *(c for c in batch.schema.names if c not in ("doc_id", "text")), "quality_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(sent.value, tokens, batch.column("text").to_pylist()), pa.float64())], ["doc_id", "quality_score"])
 
     return run
 
@@ -230,6 +232,20 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_score(sent), f"doc_id {dict(docs.dtypes)['doc_id']}, quality_score double")
 
 
+def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches ``threshold``, with all their columns; all rows if there were no two classes to learn from."""
+    if "share" in model:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(_scores(sent.value, tokens, batch.column("text").to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> dict:
     """The model learned from the folds that may be learned from."""
     return learn(docs.select("doc_id", "text"), label_rows(labels.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT), "quality"))
