@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 def nmad_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, median, nmad, std: two grouped medians, so that a group never sits in one array."""
-    mid = df.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"))
-    on = [df[k].eqNullSafe(mid[k]) for k in keys]
-    dev = df.join(mid, on).select(*[mid[k] for k in keys], F.abs(F.col(value) - F.col("median")).alias("_d"))
-    spread = dev.groupBy(*keys).agg((1.4826 * F.median("_d")).alias("nmad"))
-    return mid.join(spread, [mid[k].eqNullSafe(spread[k]) for k in keys]).select(*[mid[k] for k in keys], "n", "median", "nmad", "std")
+    mid = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    dev = df.select(*keys, F.col(value).alias("_v")).join(mid, on)
+    return dev.groupBy(*keys, "n", "median", "std").agg((1.4826 * F.median(F.abs(F.col("_v") - F.col("median")))).alias("nmad")).select(*keys, "n", "median", "nmad", "std")
 
 
 def observation_error(uncert: Column, corr: Column, slope: Column) -> Column:

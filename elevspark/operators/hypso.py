@@ -45,14 +45,14 @@ def elevation_bins(df: DataFrame, keys: list[str], ref: str = "ref", size: float
     return out.drop("_lo", "_hi", "_n")
 
 
-def drop_outliers(df: DataFrame, keys: list[str], at: str, value: str = "dh") -> DataFrame:
-    """Without pixels that lie 5 NMAD or more from the median of their bin where ``at`` is true (the last date).
+def drop_outliers(df: DataFrame, keys: list[str], at: str, value: str = "dh", factor: float = OUTLIER) -> DataFrame:
+    """Without pixels that lie ``factor`` NMAD or more from the median of their bin where ``at`` is true (the last date).
 
     Bins with ten values or fewer, or without spread, keep all.
     """
     last = df.where(at)
     stats = nmad_by(last, keys, value).select(*keys, F.col("n").alias("_n"), F.col("median").alias("_m"), F.col("nmad").alias("_s"))
-    far = last.join(stats, keys).where((F.col("_n") > FEW) & (F.col("_s") > 0) & (F.abs(F.col(value) - F.col("_m")) >= OUTLIER * F.col("_s")))
+    far = last.join(stats, keys).where((F.col("_n") > FEW) & (F.col("_s") > 0) & (F.abs(F.col(value) - F.col("_m")) >= factor * F.col("_s")))
     return df.join(far.select(*keys, "pixel").distinct(), [*keys, "pixel"], "left_anti")
 
 

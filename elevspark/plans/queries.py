@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import fit_queries, pair_queries, space_queries
+
 FLAGSHIP = "wls_trend"
-QUERIES: dict = {}
-SQL: dict = {}
+PARTS = (fit_queries, pair_queries, space_queries)
+QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+SQL: dict = {k: v for p in PARTS for k, v in p.SQL.items()}
