@@ -357,9 +357,9 @@ def scenes(spark, d):
     return o.select("o_orderkey", "o_orderdate", name.alias("name"))
 
 
-@query("parse_dem_date", f"SELECT o_orderkey, {SCENE} AS name, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 1 THEN date_trunc('day', o_orderdate) + INTERVAL 36672 SECOND ELSE date_trunc('day', o_orderdate) END AS t FROM orders")
+@query("parse_dem_date", f"SELECT o_orderkey, {SCENE} AS name, strftime(CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 1 THEN date_trunc('day', o_orderdate) + INTERVAL 36672 SECOND ELSE date_trunc('day', o_orderdate) END, '%Y-%m-%d %H:%M:%S') AS t FROM orders")
 def parse_dem_date(spark, d):
-    return scenes(spark, d).select("o_orderkey", "name", scene_date(F.col("name")).alias("t"))
+    return scenes(spark, d).select("o_orderkey", "name", F.date_format(scene_date(F.col("name")), "yyyy-MM-dd HH:mm:ss").alias("t"))
 
 
 @query("stats_file", f"SELECT p_partkey, {r('p_retailprice / 100', 4)} AS rmse, CASE WHEN p_partkey % 3 <> 0 THEN {r('p_size + 0.5', 4)} END AS nmad FROM part")
