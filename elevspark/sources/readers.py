@@ -62,7 +62,7 @@ def stats_of(lines: Column) -> Column:
 
 def read_stats(spark: SparkSession, root: str) -> DataFrame:
     """(dem_id, stats): for each folder under ``root`` the first statistics file there is, by place."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "stats.txt").text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    text = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="stats.txt").select("value", F.col("_metadata.file_path").alias("path"))
     part = F.regexp_extract("path", r"/([^/]+)/(?:(re-coreg|coreg)/)?stats\.txt$", 1)
     place = F.regexp_extract("path", r"/(?:(re-coreg|coreg)/)?stats\.txt$", 1)
     rank = F.array_position(F.array(*[F.lit(p) for p in STATS_ORDER]), place)
