@@ -138,7 +138,8 @@ def chosen_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, d
             counts += [F.coalesce(F.sum(over), F.lit(0)).alias(f"{rule}_{i}_good"), F.coalesce(F.sum(1 - over), F.lit(0)).alias(f"{rule}_{i}_bad")]
     wide = staged(held.groupBy("stratum").agg(*counts), "rule-counts")
     tests = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}_good").alias("k"), F.col(f"{rule}_{i}_bad").alias("hit")) for rule in METRICS for i, c in enumerate(cutoffs(rule))]))
-    long = wide.select("stratum", "good", F.count("*").over(Window.partitionBy()).alias("strata"), tests.alias("t")).select("stratum", "good", "strata", "t.*")
+    wide = wide.withColumn("strata", F.count("*").over(Window.partitionBy()))  # before the tests multiply the rows
+    long = wide.select("stratum", "good", "strata", tests.alias("t")).select("stratum", "good", "strata", "t.*")
     n_tests = F.col("strata") * sum(n for _, n in GRIDS.values())
     long = long.where((F.col("good") > 0) & (F.col("hit") > F.col("k")) & (binomial_tail(F.col("k"), F.col("good"), risk) <= F.lit(delta) / n_tests))
     best = long.groupBy("stratum", "rule").agg(F.max(F.struct((F.col("hit") - F.col("k")).alias("net"), "cutoff"))["cutoff"].alias("cutoff"))
