@@ -117,7 +117,8 @@ def groups(ids: DataFrame) -> DataFrame:
     rank = F.struct(F.col("n_points"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("neg"), (-F.col("rid")).alias("r"))
     kept = ids.groupBy("level", "name").agg(F.max(rank).alias("best"), F.count("*").alias("group_size"))
     kept = kept.select("level", "name", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.r")).alias("keep_rid"), "group_size")
-    return ids.join(kept, ["level", "name"])
+    # Written first: a join beside the grouping it rests on could not split the rows of a large group.
+    return ids.join(staged(kept, "kept"), ["level", "name"])
 
 
 def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
