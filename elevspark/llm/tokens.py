@@ -204,7 +204,8 @@ def token_counts(docs: DataFrame, cache: str | None = None, vocabulary: str | No
     counted = misses.mapInArrow(_count(path), "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     found = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return digests.join(found, "content").select("doc_id", "n_bytes", "n_tokens")
+    # Written first: a join beside the grouping it rests on could not split the rows of a digest with many copies.
+    return digests.join(staged(found, "counts"), "content").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
