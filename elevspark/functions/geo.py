@@ -21,6 +21,11 @@ _INVERSE = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 1
 _LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, and written once in the plan: formulas stay small when nested."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _padded(x: Column, digits: int) -> Column:
     return F.lpad(F.abs(x).cast("int").cast("string"), digits, "0")
 
@@ -37,6 +42,11 @@ def tile_corner(name: Column) -> Column:
     return F.struct(F.when(F.substring(name, 1, 1) == "S", -lat).otherwise(lat).alias("lat"), F.when(F.substring(name, 4, 1) == "W", -lon).otherwise(lon).alias("lon"))
 
 
+def tile_ring(lat: Column, lon: Column, epsg: Column, size: float = 1.0) -> Column:
+    """The ring of a tile with its south-west corner at (lat, lon), in the UTM zone of ``epsg``."""
+    return F.array(*[utm_forward(lat + a, lon + b, epsg) for a, b in ((0.0, 0.0), (0.0, size), (size, size), (size, 0.0))])
+
+
 def utm_zone(lon: Column) -> Column:
     """Zone number by six-degree strips, without the exceptions of Norway and Svalbard; null at 180 degrees and beyond."""
     return F.when((lon >= -180) & (lon < 180), (F.floor((lon + 180) / 6) + 1).cast("int"))
@@ -67,13 +77,19 @@ def utm_forward(lat: Column, lon: Column, epsg: Column) -> Column:
     north, zone = F.floor(epsg / 100) == 326, epsg % 100
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     e = 2 * math.sqrt(_N) / (1 + _N)
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(_FORWARD, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.struct((500000 + SCALE * _A * x).alias("x"), (F.when(north, F.lit(0.0)).otherwise(F.lit(10000000.0)) + SCALE * _A * y).alias("y"))
+    north_y = F.when(north, F.lit(0.0)).otherwise(F.lit(10000000.0))
+
+    def plane(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        x, y = eta, xi
+        for j, a in enumerate(_FORWARD, 1):
+            x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct((500000 + SCALE * _A * x).alias("x"), (north_y + SCALE * _A * y).alias("y"))
+
+    sphere = _let(F.struct(F.sin(phi).alias("s"), lam.alias("lam")), lambda p: F.struct(F.sinh(F.atanh(p["s"]) - e * F.atanh(e * p["s"])).alias("t"), p["lam"].alias("lam")))
+    curves = _let(sphere, lambda p: F.struct(F.atan2(p["t"], F.cos(p["lam"])).alias("xi"), F.atanh(F.sin(p["lam"]) / F.sqrt(1 + p["t"] * p["t"])).alias("eta")))
+    return _let(curves, plane)
 
 
 def utm_inverse(x: Column, y: Column, epsg: Column) -> Column:
@@ -81,15 +97,24 @@ def utm_inverse(x: Column, y: Column, epsg: Column) -> Column:
     north, zone = F.floor(epsg / 100) == 326, epsg % 100
     xi = (y - F.when(north, F.lit(0.0)).otherwise(F.lit(10000000.0))) / (SCALE * _A)
     eta = (x - 500000) / (SCALE * _A)
-    xi_, eta_ = xi, eta
-    for j, b in enumerate(_INVERSE, 1):
-        xi_ = xi_ - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta_ = eta_ - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi_) / F.cosh(eta_))
-    phi = chi
-    for j, d in enumerate(_LATITUDE, 1):
-        phi = phi + d * F.sin(2 * j * chi)
-    return F.struct(F.degrees(phi).alias("lat"), (zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta_), F.cos(xi_)))).alias("lon"))
+
+    def conformal(p: Column) -> Column:
+        xi_, eta_ = p["xi"], p["eta"]
+        for j, b in enumerate(_INVERSE, 1):
+            xi_ = xi_ - b * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+            eta_ = eta_ - b * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+        return F.struct(xi_.alias("xi"), eta_.alias("eta"))
+
+    def sphere(p: Column) -> Column:
+        return F.struct(F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])).alias("chi"), F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"]))).alias("lam"))
+
+    def ellipsoid(p: Column) -> Column:
+        phi = p["chi"]
+        for j, d in enumerate(_LATITUDE, 1):
+            phi = phi + d * F.sin(2 * j * p["chi"])
+        return F.struct(F.degrees(phi).alias("lat"), (zone * 6 - 183 + p["lam"]).alias("lon"))
+
+    return _let(_let(_let(F.struct(xi.alias("xi"), eta.alias("eta")), conformal), sphere), ellipsoid)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -102,3 +102,14 @@ def std_err_finite(std, population, sample) -> Column:
 def linear_err(delta, max_acceleration) -> Column:
     """Largest error of a linear interpolation over ``delta`` under a bound on the second derivative."""
     return _col(delta) * _col(delta) / 8 * _col(max_acceleration)
+
+
+def gauss_weights(n: int = 11, sigma: float = 1.0) -> list[float]:
+    """Values of the normal density at the whole numbers around 0."""
+    return [math.exp(-(x**2) / (2 * sigma**2)) / (sigma * math.sqrt(2 * math.pi)) for x in range(-(n // 2), n // 2 + 1)]
+
+
+def nearest_index(values: Column, at) -> Column:
+    """Index of the element of an array nearest to ``at`` (the first of equals; null elements never are)."""
+    gaps = F.transform(values, lambda x, i: F.struct(F.coalesce(F.abs(x - _col(at)), F.lit(float("inf"))).alias("d"), i.alias("i")))
+    return F.array_min(gaps)["i"]

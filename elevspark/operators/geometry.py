@@ -66,6 +66,19 @@ def _edge_enters(ring: Column) -> Column:
     return F.exists(F.sequence(F.lit(0), n - 1), lambda i: clipped(F.get(ring, i), F.get(ring, (i + 1) % n)))
 
 
+def tile_mask(pixels: DataFrame, epsg: int, tile: str) -> DataFrame:
+    """The pixels (centres x, y in ``epsg``) inside a 1 degree tile."""
+    ll = geo.utm_inverse(F.col("x"), F.col("y"), F.lit(epsg))
+    return pixels.withColumn("_ll", ll).where(geo.tile_name(F.col("_ll.lat"), F.col("_ll.lon")) == tile).drop("_ll")
+
+
+def stack_tile(cells: DataFrame, epsg: int) -> DataFrame:
+    """The name of the tile that holds the middle of a stack's extent."""
+    box = cells.agg(((F.min("x") + F.max("x")) / 2).alias("x"), ((F.min("y") + F.max("y")) / 2).alias("y"))
+    ll = box.select(geo.utm_inverse(F.col("x"), F.col("y"), F.lit(epsg)).alias("ll"))
+    return ll.select(geo.tile_name(F.col("ll.lat"), F.col("ll.lon")).alias("tile"))
+
+
 def shared_tile_sets(pairs: DataFrame) -> DataFrame:
     """(tiles, rgiids): features grouped by the set of tiles they lie on."""
     sets = pairs.groupBy("rgiid").agg(F.sort_array(F.collect_set("tile")).alias("tiles"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import kernel, linear_err, neff_circ, neff_rect, std_err, std_err_finite
+from ..sources.staging import cut
 from .error_model import nmad_by
 
 #: Error models of the instrument (range, model, variance), void acceleration, outlier factor.
@@ -172,16 +173,16 @@ def integrate(obs: DataFrame, keys: list[str], pixel_area: float, t: str = "t",
     last = F.max(t).over(Window.partitionBy(*keys))
     end = F.max(F.when(F.col(t) == F.col("_last"), F.col("err"))).over(Window.partitionBy(*keys, "pixel"))
     obs = obs.withColumn("_last", last).withColumn("_end", end)
-    obs = elevation_bins(obs, keys, size=size).withColumn("dh", F.when(F.col("_end") <= LARGEST_ERROR, F.col("dh")))
+    obs = cut(elevation_bins(obs, keys, size=size).withColumn("dh", F.when(F.col("_end") <= LARGEST_ERROR, F.col("dh"))))
     areas = obs.groupBy(*keys, "bin", "bin_mid").agg((F.count_distinct("pixel") * pixel_area).alias("area"), (F.count_distinct(F.when(F.col("dh").isNotNull(), F.col("pixel"))) * pixel_area).alias("area_res"))
-    clean = drop_outliers(obs.where("dh IS NOT NULL").withColumn("_final", F.col(t) == F.col("_last")), [*keys, "bin"], "_final")
+    clean = cut(drop_outliers(obs.where("dh IS NOT NULL").withColumn("_final", F.col(t) == F.col("_last")), [*keys, "bin"], "_final"))
     seen = clean.groupBy(*keys, "bin").agg((F.count_distinct("pixel") * pixel_area).alias("area_meas"))
     feature = areas.groupBy(*keys).agg(F.sum("area").alias("feature_area"))
     areas = areas.join(seen, [*keys, "bin"], "left").fillna(0.0, ["area_meas"]).join(feature, keys)
     means = bin_means(clean, [*keys, "bin", t])
     grid = areas.join(obs.select(*keys, t).distinct(), keys).join(means, [*keys, "bin", t], "left")
     sill = F.last("std", ignorenulls=True).over(Window.partitionBy(*keys, "bin").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    bins = fill_voids(bin_errors(grid.withColumn("std", sill), size), [*keys, t])
+    bins = cut(fill_voids(cut(bin_errors(grid.withColumn("std", sill), size)), [*keys, t]))
     geo = bins.where("n IS NOT NULL").groupBy(*keys, "bin", "bin_mid").agg(F.max("geo_err").alias("err"), F.first("area").alias("area"), F.pow(F.lit(10.0), 2 + F.first("feature_area") / 1e6 / 2.5).alias("crange")).withColumn("slope", F.lit(DEFAULT_SLOPE))
     geo = hypso_covariance(geo, keys, size=size).withColumnRenamed("err_total", "geo_total")
     total = bins.groupBy(*keys, t).agg((F.coalesce(F.sum(F.col("mean") * F.col("area")), F.lit(0.0)) / F.max("feature_area")).alias("dh"), F.sum("area_meas").alias("area_meas"), F.sum("area_res").alias("area_res"), F.max("feature_area").alias("area"))

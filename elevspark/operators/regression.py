@@ -49,10 +49,13 @@ def wls(df: DataFrame, keys: list[str], x: str = "t", y: str = "z", w: str = "w"
     return g.select(*keys, "n", "slope", "intercept", "sigma", "slope_ci", "x_mean", "sxx")
 
 
-def band(fit: DataFrame, x: Column, w: Column, conf: float) -> Column:
-    """Half width of the confidence band of a fitted line at ``x``; ``w`` is the weight there (1 in OLS)."""
-    lever = 1 / F.col("n") + w * F.pow(x - F.col("x_mean"), F.lit(2.0)) / F.col("sxx")
-    return t_two_sided(F.col("n") - 2, conf) * F.col("sigma") * F.sqrt(lever)
+def band(x: Column, w: Column, conf: float, prefix: str = "") -> Column:
+    """Half width of the confidence band at ``x`` of the line whose statistics are in the columns ``prefix`` + n, x_mean, sxx, sigma.
+
+    ``w`` is the weight there (1 in OLS).
+    """
+    n, mean, sxx, sigma = (F.col(prefix + c) for c in ("n", "x_mean", "sxx", "sigma"))
+    return t_two_sided(n - 2, conf) * sigma * F.sqrt(1 / n + w * F.pow(x - mean, F.lit(2.0)) / sxx)
 
 
 def ls(df: DataFrame, keys: list[str], x: str = "t", y: str = "z", w: str | None = None, conf: float = 0.68, conf_filter: float | None = None) -> DataFrame:
@@ -63,10 +66,11 @@ def ls(df: DataFrame, keys: list[str], x: str = "t", y: str = "z", w: str | None
     df = _valid(df, x, y, *([w] if w else [])).withColumn("_weight", F.col(w) if w else F.lit(1.0))
     if conf_filter is not None:
         fit = wls(df, keys, x, y, "_weight", conf_filter)
-        fit = fit.select(*[F.col(k).alias("_k" + k) for k in keys], "n", "slope", "intercept", "sigma", "x_mean", "sxx")
-        on = [F.col(k) == F.col("_k" + k) for k in keys]
-        inside = F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")) <= band(fit, F.col(x), F.col("_weight"), conf_filter)
-        df = df.join(fit, on).where((F.col("n") <= 2) | inside).drop("n", "slope", "intercept", "sigma", "x_mean", "sxx", *["_k" + k for k in keys])
+        held = {k: f"_k{i}" for i, k in enumerate(keys)} | {c: f"_f_{c}" for c in ("n", "slope", "intercept", "sigma", "x_mean", "sxx")}
+        fit = fit.select(*[F.col(k).alias(v) for k, v in held.items()])
+        on = [F.col(k) == F.col(held[k]) for k in keys]
+        inside = F.abs(F.col(y) - F.col("_f_slope") * F.col(x) - F.col("_f_intercept")) <= band(F.col(x), F.col("_weight"), conf_filter, "_f_")
+        df = df.join(fit, on).where((F.col("_f_n") <= 2) | inside).drop(*held.values())
     fit = wls(df, keys, x, y, "_weight", conf)
     ends = df.groupBy(*keys).agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"))
     many = F.col("n") > 2

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.dates import YEAR_RATE
-from ..operators import aggregate, error_model, filters, gp, hypso, regression, validate
+from ..operators import aggregate, error_model, filters, gp, hypso, regression, validate, variograms
 from ..operators.timejoin import change_from_first, snap_to_campaign
+from ..sources.staging import cut
 
 
 def fit_stack(obs: DataFrame, dem: DataFrame, ref: DataFrame, method: str = "gpr", prefilter: str | None = "both", ref_days: str = "days", res: float = 100.0, step: float = 0.25, span: tuple[float, float] | None = None, wls_filter: bool = False, max_uncert: float = 20.0, conf: float = 0.68, conf_filter: float | None = None) -> DataFrame:
@@ -20,7 +22,7 @@ def fit_stack(obs: DataFrame, dem: DataFrame, ref: DataFrame, method: str = "gpr
     out = filters.rmse_filter(obs, dem, max_uncert).join(dem.select("dem", "uncert"), "dem")
     if prefilter:
         out = filters.prefilter(out, ref, prefilter, ref_days, res)
-    out = error_model.with_error(out, ref.select(*place, "slope"), place)
+    out = cut(error_model.with_error(out, ref.select(*place, "slope"), place))
     if wls_filter:
         out = filters.wls_reference_filter(out, ref, ref_days)
     out = out.groupBy(*place, "t").agg(F.avg("z").alias("z"), F.avg("err").alias("err"))
@@ -48,11 +50,11 @@ def volumes(cube: DataFrame, lags: DataFrame, ref: DataFrame, features: DataFram
 
 def regional_rates(series: DataFrame, base: DataFrame, lengths: tuple[int, ...] = (1, 2, 4, 5, 10, 20), years: int = 20) -> DataFrame:
     """Rates of every region and multi-annual period from feature series (rgiid, time in years, dh, err_dh, err_corr_*, shares)."""
-    full = aggregate.with_combined_regions(aggregate.complete_inventory(series, base))
+    full = cut(aggregate.with_combined_regions(aggregate.complete_inventory(series, base)))
     dates = aggregate.annual_dates(full.where("dh IS NOT NULL"), ["reg"], years=years + 1).select("reg", "time").distinct()
     near = full.where("dh IS NOT NULL AND area IS NOT NULL AND err_dh IS NOT NULL").join(dates, ["reg", "time"], "left_semi")
     errors = aggregate.double_covariance(near, ["reg", "time"], {float(r): f"err_corr_{r}" for r in aggregate.CORR_RANGES})
-    regions = aggregate.regional_sum(full, ["reg"], errors=errors)
+    regions = cut(aggregate.regional_sum(full, ["reg"], errors=errors))
     return aggregate.period_rates(regions, aggregate.multi_annual(regions, lengths, years=years), ["reg"])
 
 
@@ -63,3 +65,37 @@ def altimetry_comparison(points: DataFrame, campaigns: DataFrame, cube: DataFram
     at = snap_to_campaign(points.where(F.col("elev") > validate.LOWEST_POINT), campaigns, "utc_day")
     out = validate.compare_points(at.withColumn("t", F.col("mid_day")).withColumnRenamed("elev", "h"), cube, res)
     return out.withColumn("years", F.col("t") / YEAR_RATE)
+
+
+def refined_variograms(obs: DataFrame, ref: DataFrame, step: float, cutoff: float, slopes: list[float], heights: list[float], changes: list[float], days: str = "days") -> dict[str, DataFrame]:
+    """Temporal variograms of prefiltered observations by bins of slope, of height and of the trend's change.
+
+    obs: obs_id, px, py, t (years), days, z, err. ref: px, py, ref_z, slope.
+    """
+    place = ["px", "py"]
+    kept = filters.prefilter(obs, ref, "both", days)
+    trend = regression.ls(kept.withColumn("w", 1 / (F.col("err") * F.col("err"))), place, "t", "z", "w").select(*place, F.col("slope").alias("change"))
+    data = kept.join(ref.select(*place, "ref_z", "slope"), place).join(trend, place)
+    out = {}
+    for name, column, edges in (("slope", "slope", slopes), ("height", "ref_z", heights), ("change", "change", changes)):
+        binned = data.withColumn("bin", error_model.bin_of(F.col(column), edges)).where("bin IS NOT NULL")
+        out[name] = variograms.temporal_variogram_median(binned, place, step, cutoff, by=["bin"])
+    return out
+
+
+def interpolation_correlation(points: DataFrame, dt_edges: list[float], cutoffs: list[float], lags: int, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(by region, of all) spatial variograms of differences by the days between a fit's observation and the point.
+
+    points: id, reg, date, dt, lat, lon, dh. Groups are a region, a date and a bin of dt, in the zone of their median place.
+    """
+    keys = ["reg", "date", "nb_dt"]
+    p = points.withColumn("nb_dt", error_model.bin_of(F.abs("dt"), dt_edges)).where("nb_dt IS NOT NULL")
+    middle = p.groupBy(*keys).agg(F.median("lat").alias("_la"), F.median("lon").alias("_lo")).withColumn("_epsg", geo.utm_epsg(F.col("_la"), F.col("_lo"))).drop("_la", "_lo")
+    p = p.join(middle, keys).withColumn("_xy", geo.utm_forward(F.col("lat"), F.col("lon"), F.col("_epsg"))).select(*keys, "id", F.col("_xy.x").alias("x"), F.col("_xy.y").alias("y"), F.col("dh").alias("z"))
+    every = None
+    for cutoff in cutoffs:
+        v = variograms.spatial_variogram(p, keys, cutoff, lags, least=least)
+        v = v.select("reg", "nb_dt", F.lit(float(cutoff)).alias("cutoff"), F.col("lag").alias("bins"), F.col("gamma").alias("exp"), F.col("n").alias("count"))
+        every = v if every is None else every.unionByName(v)
+    by_region = variograms.aggregate_variograms(every, ["reg", "cutoff", "nb_dt", "bins"])
+    return by_region, variograms.aggregate_variograms(by_region, ["cutoff", "nb_dt", "bins"])

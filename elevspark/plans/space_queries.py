@@ -6,12 +6,13 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, models
 from ..functions.dates import scene_date
 from ..operators import aggregate, geometry
 from ..operators.error_model import bin_of
 from ..sources import readers
 from ..sources.adapters import FEATURES, OBS, PIXELS, POINTS, SERIES, features, obs, pixels, points, series
+from . import pipelines
 from .rounding import r, rounded
 
 QUERIES, SQL = {}, {}
@@ -203,6 +204,42 @@ def tile_extent_snap(spark, d):
     return rounded(p.select("id", s.alias("s")).select("id", "s.*"), 3)
 
 
+@query("tile_rings", f"""WITH {POINTS}, c AS (SELECT id, floor(lat) + a AS lat, floor(lon) + b AS lon, lat AS la, lon AS lo FROM points, (VALUES (0, 0), (0, 1), (1, 1), (1, 0)) q(a, b) WHERE abs(lat) < 80),
+{_forward_sql().replace("FROM points WHERE abs(lat) < 84", "FROM c").replace(ZONE, ZONE.replace("lon", "lo")).replace("lat >= 0", "la >= 0").replace("SELECT id, lat, lon,", "SELECT id, la, lo, lat, lon,")}
+SELECT id, {r('min(x)', 2)} AS xmin, {r('min(y)', 2)} AS ymin, {r('max(x)', 2)} AS xmax, {r('max(y)', 2)} AS ymax FROM utm GROUP BY id""")
+def tile_rings(spark, d):
+    lat, lon = F.col("lat"), F.col("lon")
+    p = points(spark, d).where(F.abs("lat") < 80)
+    ring = geo.tile_ring(F.floor(lat), F.floor(lon), geo.utm_epsg(lat, lon))
+    return rounded(p.select("id", geo.ring_extent(ring).alias("b")).select("id", "b.*"), 2)
+
+
+@query("tile_mask", f"WITH {POINTS}, {_forward_sql()}, z AS (SELECT * FROM utm WHERE epsg = 32650) SELECT id FROM z WHERE {NAME.format('lat', 'lon')} IN ('N83E119', 'N10E115', 'N45E117')")
+def tile_mask(spark, d):
+    p = points(spark, d).withColumn("epsg", geo.utm_epsg(F.col("lat"), F.col("lon"))).where("epsg = 32650 AND abs(lat) < 84")
+    # half a millimetre up and right of the points, which lie on multiples of a tenth of a degree
+    p = p.withColumn("u", geo.utm_forward(F.col("lat"), F.col("lon"), F.col("epsg"))).select("id", (F.col("u.x") + 0.005).alias("x"), (F.col("u.y") + 0.005).alias("y"))
+    out = None
+    for tile in ("N83E119", "N10E115", "N45E117"):
+        one = geometry.tile_mask(p, 32650, tile).select("id")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("nearest_index", "SELECT vec_id, (SELECT arg_min(i, struct_pack(d := abs(embedding[i + 1]::DOUBLE - 0.05), i := i)) FROM range(0, len(embedding)) r(i)) AS near FROM embeddings")
+def nearest_index(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return rounded(e.select("vec_id", models.nearest_index(F.col("embedding").cast("array<double>"), 0.05).cast("long").alias("near")))
+
+
+@query("interpolation_correlation")
+def interpolation_correlation(spark, d):
+    p = points(spark, d).withColumn("lat", F.col("lat") / 100 + 45).withColumn("lon", F.col("lon") / 100 + 10)
+    p = p.select("id", (F.col("id") % 3).cast("int").alias("reg"), F.year("t").alias("date"), (F.col("id") % 50).cast("double").alias("dt"), "lat", "lon", (F.col("h") / 1e4).alias("dh"))
+    by_region, _ = pipelines.interpolation_correlation(p, [0.0, 25.0, 50.0], [5000.0, 50000.0], 5)
+    return rounded(by_region)
+
+
 # --- polygons ------------------------------------------------------------------------------------
 
 CORNERS = ((0.0, 0.0), (3.0, 0.5), (4.0, 3.0), (2.0, 2.0), (0.5, 4.0))
