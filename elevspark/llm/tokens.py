@@ -195,12 +195,14 @@ def token_counts(docs: DataFrame, cache: str | None = None, vocabulary: str | No
     spark = docs.sparkSession
     path = vocabulary or vocabulary_path()
     cache, version = cache or staged_path(spark, "token-cache"), tokenizer_digest(path)
-    rows = docs.select("doc_id", text_of().alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("row_id"), text_of().alias("text"))
     content = F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
-    digests = staged(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), content.alias("content")), "digests")
+    digests = staged(rows.select("doc_id", "row_id", F.octet_length("text").cast("long").alias("n_bytes"), content.alias("content")), "digests")
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version)
-    texts = rows.select(content.alias("content"), normalised(F.col("text")).alias("text")).join(stored, "content", "left_anti")
-    misses = texts.groupBy("content").agg(F.first("text").alias("text"))
+    # One row of each digest that misses. Texts then travel by (row, digest), so many copies of one are no task's alone.
+    misses = staged(digests.groupBy("content").agg(F.min("row_id").alias("row_id")).join(stored, "content", "left_anti"), "misses")
+    texts = rows.select("row_id", content.alias("content"), normalised(F.col("text")).alias("text"))
+    misses = texts.join(misses, ["row_id", "content"], "left_semi").groupBy("row_id", "content").agg(F.first("text").alias("text")).select("content", "text")
     counted = misses.mapInArrow(_count(path), "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     found = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
