@@ -15,7 +15,10 @@ def cut(df: DataFrame) -> DataFrame:
     Where none is set, a local session gets a temporary one; a cluster does not.
     """
     sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir() and named:
+        sc.setCheckpointDir(named)
+    elif not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="steps-")
