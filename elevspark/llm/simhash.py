@@ -259,8 +259,9 @@ def near_groups(prints: DataFrame, tables: list[np.ndarray], radius: int, words:
     """(fp, component, component_id) of every fingerprint in ``prints`` (doc_id, fp, ...)."""
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     found = staged(components(linked_nodes(nodes, tables, radius, words)), "components")
-    nodes = nodes.join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    roots = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    nodes = staged(nodes.join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")), "rooted")
+    # Written first: a join beside the grouping it rests on could not split the nodes of a large component.
+    roots = staged(nodes.groupBy("root").agg(F.min("low").alias("component_id")), "roots")
     return staged(nodes.join(roots, "root").select("fp", F.col("root").alias("component"), "component_id"), "near-groups")
 
 
