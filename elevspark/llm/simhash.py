@@ -98,10 +98,10 @@ def fingerprints(hashes: list[array], words: int = 1) -> np.ndarray:
     return out
 
 
-def _fingerprint(shingle: int, words: int, keep: list[str]):
+def _fingerprint(shingle: int, words: int, keep: list[str], blank: array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 4 << 20):
-            got = fingerprints([shingle_hashes(t, shingle) for t in batch.column("text").to_pylist()], words)
+            got = fingerprints([shingle_hashes(t, shingle) or blank for t in batch.column("text").to_pylist()], words)
             raw = got.astype(">u8").tobytes()
             fp = pa.array([raw[i : i + 8 * words] for i in range(0, len(raw), 8 * words)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), fp], [*keep, "fp"])
@@ -265,11 +265,14 @@ def near_groups(prints: DataFrame, tables: list[np.ndarray], radius: int, words:
     return staged(nodes.join(roots, "root").select("fp", F.col("root").alias("component"), "component_id"), "near-groups")
 
 
-def simhash_groups(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, words: int = 1, radius: int = RADIUS, tables: list[np.ndarray] | None = None) -> DataFrame:
-    """A row per document: the columns ``keep`` (doc_id among them), fp, component (its number) and component_id."""
+def simhash_groups(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, words: int = 1, radius: int = RADIUS, tables: list[np.ndarray] | None = None, blank: tuple[int, ...] = ()) -> DataFrame:
+    """A row per document: the columns ``keep`` (doc_id among them), fp, component (its number) and component_id.
+
+    ``blank``: the hashes that stand for a text without words; without any its fingerprint is 0.
+    """
     tables = tables or pigeonhole(64 * words, radius, BLOCKS)
     types = dict(docs.dtypes)
-    prints = docs.select(*keep, "text").mapInArrow(_fingerprint(shingle, words, keep), ", ".join(f"{c} {types[c]}" for c in keep) + ", fp binary")
+    prints = docs.select(*keep, "text").mapInArrow(_fingerprint(shingle, words, keep, array("Q", blank)), ", ".join(f"{c} {types[c]}" for c in keep) + ", fp binary")
     prints = staged(prints, "prints")
     return prints.join(near_groups(prints, tables, radius, words), "fp")
 
@@ -279,12 +282,14 @@ def simhash_groups(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, wor
 #: pair 39 apart meets in 99 of 100 cases and a pair 48 apart in 93; closer pairs all but always.
 NEAR = {"shingle": 5, "words": 4, "radius": 48}
 NEAR_WIDTH, NEAR_TABLES = 14, 48
+#: The hash that stands for a text without words there: fingerprints of two shingles have few bits, so 0 would lie near some.
+BLANK = (0x9FB21C651E98DF25,)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each group the one with the smallest id stays (null last)."""
     key = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    found = simhash_groups(docs.select("doc_id", key.alias("key"), "text"), ["doc_id", "key"], tables=sampled(64 * NEAR["words"], NEAR_WIDTH, NEAR_TABLES), **NEAR)
+    found = simhash_groups(docs.select("doc_id", key.alias("key"), "text"), ["doc_id", "key"], tables=sampled(64 * NEAR["words"], NEAR_WIDTH, NEAR_TABLES), blank=BLANK, **NEAR)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))).alias("best")
     stay = staged(found.groupBy("component").agg(best).select("best.doc_id", "best.key"), "near-stay")
     return kept_rows(docs, {"doc_id": F.col("doc_id"), "key": key}, stay)

@@ -94,3 +94,13 @@ def test_documents(spark):
     assert sorted(((r.doc_id, bytes(r.fp).hex(), r.component_id) for r in rows), key=str) == want
     assert simhash_groups(df.where("false"), ["doc_id"]).count() == 0
     assert simhash.SHINGLE == 4
+
+
+def test_texts_without_words_lie_far_from_short_ones_in_near_dedup():
+    from array import array
+
+    rng = np.random.default_rng(1)
+    blank = simhash.fingerprints([array("Q", simhash.BLANK)], 4)
+    short = simhash.fingerprints([array("Q", [int(x) for x in rng.integers(0, 2**63, 2, dtype=np.uint64)]) for _ in range(2000)], 4)
+    gaps = np.unpackbits((short ^ blank).view(np.uint8), axis=1).sum(1)
+    assert gaps.min() > simhash.NEAR["radius"]
