@@ -200,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     vectors = token_vectors(sums, index_vectors())
     sent = spark.sparkContext.broadcast(vectors)
     data = rows.select("y", "text").mapInArrow(_pool(sent, "y"), "y int, x binary")
-    data = data.orderBy("x").toPandas()  # in an order that does not depend on the tasks
+    data = data.toPandas().sort_values(["x", "y"])  # at most ``sample`` rows, in an order that does not depend on the tasks
     x, y = np.stack([np.frombuffer(b, "<f4") for b in data["x"]]).astype(float), data["y"].to_numpy(float)
     order = np.random.default_rng(SEED).permutation(len(y))
     x, y = x[order], y[order]
