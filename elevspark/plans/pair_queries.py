@@ -32,9 +32,9 @@ PAIRS = """pairs AS (
 )"""
 
 
-@query("temporal_variogram", f"WITH {OBS}, {PAIRS} SELECT pixel, {r('lag * 2')} AS lag, {r('avg(sq) / 2', 4)} AS gamma, count(*) AS n FROM pairs GROUP BY pixel, lag")
+@query("temporal_variogram", f"WITH {OBS}, {PAIRS} SELECT pixel, {r('lag * 2')} AS lag, {r('avg(sq) / 2', 2)} AS gamma, count(*) AS n FROM pairs GROUP BY pixel, lag")
 def temporal_variogram(spark, d):
-    return rounded(variograms.temporal_variogram(obs(spark, d), ["pixel"], 2.0, 16.0), 4)
+    return rounded(variograms.temporal_variogram(obs(spark, d), ["pixel"], 2.0, 16.0), 2)
 
 
 @query("temporal_variogram_median", f"WITH {OBS}, {PAIRS} SELECT {r('lag * 2 + 1')} AS lag, {r('median(sq)', 2)} AS vmedian, {r('1.4826::DOUBLE * mad(sq)', 2)} AS vnmad, count(*) AS n FROM pairs GROUP BY lag")
@@ -59,11 +59,11 @@ def spatial_variogram(spark, d):
 
 
 @query("variogram_aggregate", f"""WITH {OBS}, {PAIRS}, v AS (SELECT pixel, lag, CASE WHEN pixel % 9 <> 0 THEN avg(sq) / 2 END AS exp, count(*) AS c FROM pairs GROUP BY pixel, lag)
-SELECT CAST(pixel % 5 AS BIGINT) AS reg, lag, {r('sum(exp * c) / sum(CASE WHEN exp IS NOT NULL THEN c END)', 3)} AS exp, CAST(sum(CASE WHEN exp IS NOT NULL THEN c END) AS BIGINT) AS count FROM v GROUP BY 1, 2""")
+SELECT CAST(pixel % 5 AS BIGINT) AS reg, lag, {r('sum(exp * c) / sum(CASE WHEN exp IS NOT NULL THEN c END)', 2)} AS exp, CAST(sum(CASE WHEN exp IS NOT NULL THEN c END) AS BIGINT) AS count FROM v GROUP BY 1, 2""")
 def variogram_aggregate(spark, d):
     v = variograms.time_pairs(obs(spark, d), ["pixel"], 2.0, 16.0).groupBy("pixel", "lag").agg(F.avg("sq").alias("g"), F.count("*").alias("count"))
     v = v.select((F.col("pixel") % 5).alias("reg"), "lag", F.when(F.col("pixel") % 9 != 0, F.col("g") / 2).alias("exp"), "count")
-    return rounded(variograms.aggregate_variograms(v, ["reg", "lag"]), 3)
+    return rounded(variograms.aggregate_variograms(v, ["reg", "lag"]), 2)
 
 
 H, A, C = "(p_size * 10.0::DOUBLE)", "(p_retailprice / 10)", "(p_size / 5.0::DOUBLE)"
