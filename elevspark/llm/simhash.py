@@ -17,10 +17,13 @@ found on the cluster.
 Null and empty texts have fingerprint 0 and are linked like any other; texts shorter than a shingle
 are one shingle. Rows may repeat, ids may be null: a component's id is its smallest id that is not
 null, null if there is none. An empty table gives an empty result.
+
+The near-duplicates of the pipeline are those of exact similarity: see ``near_dedup``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 from array import array
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept_rows, sliced, staged, table
@@ -277,21 +280,141 @@ def simhash_groups(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, wor
     return prints.join(near_groups(prints, tables, radius, words), "fp")
 
 
-#: For documents alike in 0.8 or more of their five-word shingles: 256 bits, of which such pairs differ in 39 on
-#: average (44 where 0.75 are alike, over 68 where under a tenth are), and 48 tables of 14 positions, in one of which a
-#: pair 39 apart meets in 99 of 100 cases and a pair 48 apart in 93; closer pairs all but always.
+#: Fingerprints of five-word shingles: a text without words lies beyond this radius of short ones.
 NEAR = {"shingle": 5, "words": 4, "radius": 48}
-NEAR_WIDTH, NEAR_TABLES = 14, 48
 #: The hash that stands for a text without words there: fingerprints of two shingles have few bits, so 0 would lie near some.
 BLANK = (0x9FB21C651E98DF25,)
 
+#: Near-duplicates are alike in 4 of 5 or more of their distinct five-word shingles. Candidates share one of BANDS bands of
+#: ROWS smallest hashes; a pair at 0.8 shares none in one of two million cases, closer pairs in fewer still.
+ALIKE, OF, BANDS, ROWS = 4, 5, 48, 6
+#: Sets that a task compares with one other; pairs for each row of a bucket above which hubs come first, and rounds of them.
+BLOCK, DENSE, ROUNDS = 64, 2, 8
+_MULTIPLIERS = np.array([[random.Random(11 + i).getrandbits(64) | 1] for i in range(BANDS * ROWS)], np.uint64)
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, k), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key of each band; none without shingles."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 512):
+        np.minimum(low, (hashes[i : i + 512] * _MULTIPLIERS).min(axis=1), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in low.reshape(BANDS, ROWS).T:
+        key = _mixed(key ^ row, 1)
+    return key.view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, each in order, have the similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if OF * len(a) < ALIKE * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
+    return OF * both >= ALIKE * (len(a) + len(b) - both)
+
+
+def _set_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 4 << 20):
+        digests, sizes, bands = [], [], []
+        for text in batch.column("text").to_pylist():
+            hashes = shingle_set(text, NEAR["shingle"])
+            digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+            sizes.append(len(hashes))
+            bands.append(band_keys(hashes))
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in bands])])
+        keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), keys], ["doc_id", "key", "set", "n", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 4 << 20):
+        found = [shingle_set(t, NEAR["shingle"]).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array(found, pa.binary())], ["nid", "shingles"])
+
+
+def _compare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block follow one another; its hub's row, without ``a``, comes first."""
+    hub = None
+    for batch in batches:
+        left, right = [], []
+        for a, b, shingles in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles"), strict=True):
+            mine = np.frombuffer(shingles.as_buffer(), np.uint64)
+            if a is None:
+                hub = mine.copy()
+            elif alike(mine, hub):
+                left.append(a)
+                right.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def _alike_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have the similarity. The pairs of one b are dealt into blocks."""
+    pairs = staged(pairs.distinct(), "near-pairs")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = staged(pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part")), "near-blocks")
+    hubs = dealt.select("b", "part").distinct().join(sets.withColumnRenamed("nid", "b"), "b").select(F.lit(None).cast("long").alias("a"), "b", "part", "shingles")
+    members = dealt.join(sets.withColumnRenamed("nid", "a"), "a").select("a", "b", "part", "shingles")
+    rows = hubs.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return staged(rows.select("a", "b", "shingles").mapInArrow(_compare_sets, "a long, b long"), "near-links")
+
+
+def similar_roots(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of the components that pairs with the similarity make among nodes that share a bucket.
+
+    ``met``: (bucket, nid, n). Every pair of a bucket is compared unless it is in one component already. Where that
+    is many pairs, rounds that compare a bucket's nodes with one of them come first and join large groups.
+    """
+    links, roots, last = None, None, None
+    for k in itertools.count():
+        here = met.withColumn("root", F.col("nid")) if roots is None else met.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        here = staged(here.select("bucket", "nid", "n", "root"), "near-met")
+        by = here.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same")).where("m * m > same")
+        open_ = staged(by.select("bucket", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")), "near-open")
+        rows, pairs = open_.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
+        here = here.join(open_.select("bucket"), "bucket")
+        whole = pairs <= DENSE * rows or k == ROUNDS or (last is not None and pairs > 0.9 * last)
+        last = pairs
+        if whole:
+            other = here.select("bucket", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("other"))
+            met_pairs = here.join(other, "bucket").where("root <> other AND nid > b")
+        else:
+            hub = here.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(k), "nid").alias("order"), F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("other"))).alias("hub")).select("bucket", "hub.*")
+            met_pairs = here.join(hub, "bucket").where("root <> other")
+        met_pairs = met_pairs.where(F.least("n", "nb") * OF >= F.greatest("n", "nb") * ALIKE)
+        found = _alike_pairs(met_pairs.select(F.col("nid").alias("a"), "b"), sets)
+        links = found if links is None else links.unionByName(found)
+        roots = staged(components(links), "near-roots")
+        if whole:
+            return roots
+
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each group the one with the smallest id stays (null last)."""
+    """The rows of ``docs`` less near-duplicates: of each group the one with the smallest id stays (null last).
+
+    Texts of the same set of shingles are one node; other links are those of pairs whose exact similarity suffices.
+    """
     key = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    found = simhash_groups(docs.select("doc_id", key.alias("key"), "text"), ["doc_id", "key"], tables=sampled(64 * NEAR["words"], NEAR_WIDTH, NEAR_TABLES), blank=BLANK, **NEAR)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))).alias("best")
-    stay = staged(found.groupBy("component").agg(best).select("best.doc_id", "best.key"), "near-stay")
+    keyed = docs.select("doc_id", key.alias("key"), "text")
+    kind = dict(docs.dtypes)["doc_id"]
+    prints = staged(keyed.mapInArrow(_set_prints, f"doc_id {kind}, key string, set binary, n long, bands array<long>"), "near-prints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))).alias("best")
+    nodes = staged(prints.groupBy("set").agg(least, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
+    shared = F.count("*").over(Window.partitionBy("bucket"))
+    met = staged(nodes.select("nid", "n", F.explode("bands").alias("bucket")).withColumn("m", shared).where("m > 1").select("bucket", "nid", "n"), "near-buckets")
+    wanted = nodes.join(met.select("nid").distinct(), "nid").select("nid", F.col("best.doc_id").alias("low"), F.col("best.key").alias("its"))
+    sets = staged(keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("key") == F.col("its"))).select("nid", "text").mapInArrow(_sets, "nid long, shingles binary"), "near-sets")
+    roots = similar_roots(met, sets).withColumnRenamed("node", "nid")
+    rooted = nodes.select("nid", "best").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    stay = staged(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.key"), "near-stay")
     return kept_rows(docs, {"doc_id": F.col("doc_id"), "key": key}, stay)
 
 

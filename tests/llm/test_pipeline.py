@@ -95,3 +95,40 @@ def test_run_packs_what_the_stages_keep(spark):
         assert sum(n for _, n in pieces) <= 4096
     assert len(seqs) <= np.ceil(sum(r.length for r in rows) / 4096) * 1.02 + 1
     assert [name for name, _ in p.STAGES] == ["quality", "exact_dedup", "near_dedup", "mix", "pack"] and p.ORACLE_SQL is None
+
+
+def at_similarity(rng, low, high):
+    """Two texts whose sets of five-word shingles have a similarity in [low, high)."""
+    while True:
+        base = prose(rng, rng.randint(40, 400))
+        copy = edited(rng, base, rng.uniform(0.01, 0.08))
+        if low <= jaccard(base, copy) < high:
+            return " ".join(base), " ".join(copy)
+
+
+def test_near_dedup_decides_by_the_exact_similarity(spark):
+    rng = random.Random(9)
+    close, apart = [at_similarity(rng, 0.8, 0.85) for _ in range(150)], [at_similarity(rng, 0.7, 0.8) for _ in range(150)]
+    rows = [(1000 + 2 * g + c, t) for g, pair in enumerate(close + apart) for c, t in enumerate(pair)]
+    short = [prose(rng, 8) for _ in range(40)]  # three of five shingles alike
+    rows += [(5000 + 2 * g + c, " ".join(w)) for g, base in enumerate(short) for c, w in enumerate((base, [*base[:-1], "other"]))]
+    passage = prose(rng, 60)  # repeats do not count
+    rows += [(9000, " ".join(passage)), (9001, " ".join(passage * 30 + passage[:4]))]
+    ids = {r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {1000 + 2 * g for g in range(150)} | set(range(1300, 1600)) | set(range(5000, 5080)) | {9000}
+    assert jaccard(passage, passage * 30 + passage[:4]) >= 0.8
+    assert ids == want
+
+
+def test_near_dedup_of_a_large_group_is_that_of_all_pairs(spark):
+    rng = random.Random(3)
+    base = prose(rng, 200)
+    texts = [edited(rng, base, rng.uniform(0.005, 0.06)) for _ in range(150)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup(df).collect()} == set(root) and 1 < len(set(root)) < 150
