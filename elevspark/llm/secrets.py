@@ -3,7 +3,8 @@
 A document's text is the first layer. Every layer is scanned for the kinds below and searched for
 encoded parts: URL escapes, Unicode and character-reference escapes (decoded in place), base64 runs
 (each decoded into a layer of its own, directly or after gzip, zlib or bzip2). A decoded layer goes
-onto the worklist unless its text was seen before, so cycles end and the work stops at a fixpoint.
+onto the worklist unless its text was seen at the same place, so cycles end and the work stops at a
+fixpoint; equal parts at other places are layers of their own.
 Each layer knows, for each of its characters, the span of the original text that made it; what is
 found in a layer is reported at that span.
 
@@ -175,14 +176,18 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], dict[tuple[int,
     raw = text.encode("utf-8", "surrogatepass")
     base = sorted(scan(text, raw))
     found = dict.fromkeys(base, "")
+    scans: dict[str, list[tuple[int, int, int]]] = {}
+    seen = set()
     work = list(layers_in(Layer(text), raw))
-    seen = {text}
     while work:
         layer = work.pop()
-        if layer.text in seen:
+        place = (layer.text, hashlib.blake2b(layer.starts.tobytes() + layer.ends.tobytes()).digest())
+        if place in seen:
             continue
-        seen.add(layer.text)
-        for start, kind, end in scan(layer.text):
+        seen.add(place)
+        if layer.text not in scans:
+            scans[layer.text] = scan(layer.text)
+        for start, kind, end in scans[layer.text]:
             a, b = layer.span(start, end)
             found.setdefault((a, kind, b), layer.via)
         work += layers_in(layer)

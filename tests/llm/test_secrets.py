@@ -74,3 +74,13 @@ def test_rows(spark):
     told = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in brute(data[1][1]))
     assert by[2].base_sha256 == hashlib.sha256(told.encode()).hexdigest() and by[2].spans == told and by[2].n_assign == 1 and by[2].n_hex == 1
     assert by[None].n_assign == 0 and by[None].found[0]["via"] == "base64"
+
+
+def test_every_place_of_an_equal_encoded_secret_is_reported():
+    coded = b64(f"x {KEY} y")
+    text = f"{coded} and {coded}\n{coded}"
+    spans = [(a, b) for a, k, b in sorted(find_secrets(text)[1]) if KINDS[k] == "access"]
+    places = [m.start() for m in re.finditer(re.escape(coded), text)]
+    assert len(spans) == 3 and all(at <= a < b <= at + len(coded) for at, (a, b) in zip(places, spans, strict=True))
+    outer = [b64(f"{i} see {coded} there") for i in range(2)]
+    assert sum(KINDS[k] == "access" for _, k, _ in find_secrets(" ".join(outer))[1]) == 2
