@@ -10,7 +10,7 @@ found in a layer is reported at that span.
 
 Base spans are those of the first layer; they are always reported. Spans are in code points, end
 exclusive. Null texts count as empty and have no spans; repeated rows each give a row; other columns
-are ignored. A compressed part that would unfold to more than ``UNFOLDED`` bytes is not unfolded.
+are ignored. Of a compressed stream that unfolds to more than ``UNFOLDED`` bytes the first so many are read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import binascii
 import bz2
 import hashlib
 import re
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 
@@ -35,13 +36,18 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
-#: A run that can hold the shortest secret is at least so long; larger unfolded parts are left folded.
-MIN_BASE64, UNFOLDED = 22, 32 << 20
+#: A run that can hold the shortest secret is at least so long; bytes that are read of an unfolded stream; layers of compression.
+MIN_BASE64, UNFOLDED, NESTED = 22, 32 << 20, 64
 
 _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+#: Runs over several lines; none begins inside a run.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)+" % MIN_BASE64)
+#: Where compressed bytes may begin.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY|\x78[\x01\x5e\x9c\xda]|\A[\x08\x18\x28\x38\x48\x58\x68]", re.DOTALL)
+_PACKED_URL = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)(?:%01|%5[eE]|\^|%9[cC]|%[dD][aA])|BZh[1-9])(?:%[0-9A-Fa-f]{2}|[^%\s&\"'<>])*")
 _HEX_RUN = b"x" * MIN_HEX
 _BASE64_RUN = b"x" * MIN_BASE64
 _HEX_TABLE = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
@@ -119,52 +125,95 @@ def _decode_escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), m.start(), m.end())] if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else None
 
 
-def _unfolded(data: bytes) -> bytes | None:
-    """What a gzip, zlib or bzip2 stream holds; None if ``data`` is none or holds too much."""
+def _member(data: bytes) -> tuple[bytes, bytes] | None:
+    """What the gzip, zlib or bzip2 stream at the head of ``data`` holds, as far as it goes, and what follows it."""
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0):
+        d = zlib.decompressobj(47)
+    elif data[:3] == b"BZh":
+        d = bz2.BZ2Decompressor()
+    else:
+        return None
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, UNFOLDED)
-            return out if d.eof else None
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, UNFOLDED)
-            return out if d.eof else None
+        out = d.decompress(data, UNFOLDED)
     except (zlib.error, OSError, EOFError, ValueError):
-        pass
-    return None
+        return None
+    return (out, d.unused_data if d.eof else b"") if out else None
 
 
-def _base64_layers(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        run = run[: len(run) - (len(run) % 4 == 1)]
+def _unfolded(data: bytes) -> bytes | None:
+    """What ``data`` holds under all its layers of compression, every member of a stream; None if it is none."""
+    found = None
+    for _ in range(NESTED):
+        parts, size = [], 0
+        while size < UNFOLDED and (got := _member(data)):
+            parts.append(got[0])
+            size, data = size + len(got[0]), got[1]
+        if not parts:
+            break
+        found = data = b"".join(parts)
+    return found
+
+
+def _readable(data: bytes) -> str:
+    """The text; where it is no UTF-8, a character for each byte (all kinds are ASCII)."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def _packed_url_layers(layer: Layer) -> Iterator[Layer]:
+    for m in _PACKED_URL.finditer(layer.text):
+        packed = _unfolded(urllib.parse.unquote_to_bytes(m[0]))
+        if packed is not None:
+            text = _readable(packed)
+            yield layer.inner(text, np.full(len(text), m.start()), np.full(len(text), m.end()), "url>inflate")
+
+
+def _decoded_layers(layer: Layer, run: str, at: np.ndarray) -> Iterator[Layer]:
+    """Layers of a base64 run whose characters lie at ``at``; at all four alignments unless the first one is plain text."""
+    for k in range(4):
+        part, where = run[k:], at[k:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
         try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+            data = base64.b64decode(part.replace("-", "+").replace("_", "/") + "=" * (-len(part) % 4))
         except (binascii.Error, ValueError):
             continue
-        via, packed = "base64", _unfolded(data)
-        if packed is not None:
-            via, data = "base64>inflate", packed
+        if not data:
+            continue
+        for m in _MAGIC.finditer(data):
+            if (packed := _unfolded(data[m.start() :])) is not None:
+                text = _readable(packed)
+                yield layer.inner(text, np.full(len(text), where[m.start() * 8 // 6]), np.full(len(text), at[-1] + 1), "base64>inflate")
+                if m.start() == 0:
+                    return
         try:
-            text = data.decode("utf-8")
+            text, plain = data.decode("utf-8"), True
         except UnicodeDecodeError:
-            continue
-        if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < len(text):
-            continue
-        if packed is not None:
-            first, after = np.full(len(text), m.start()), np.full(len(text), m.end())
-        else:  # byte j comes from the base64 characters that hold bits 8j to 8j + 7
-            ends = np.cumsum([len(c.encode("utf-8")) for c in text]) if not text.isascii() else np.arange(1, len(text) + 1)
-            begin = np.concatenate([[0], ends[:-1]])
-            first, after = m.start() + begin * 8 // 6, m.start() + (ends * 8 + 5) // 6
-        yield layer.inner(text, first, after, via)
+            text, plain = data.decode("latin-1"), False
+        # byte j comes from the base64 characters that hold bits 8j to 8j + 7
+        ends = np.cumsum([len(c.encode("utf-8")) for c in text]) if plain and not text.isascii() else np.arange(1, len(text) + 1)
+        begin = np.concatenate([[0], ends[:-1]])
+        yield layer.inner(text, where[begin * 8 // 6], where[(ends * 8 + 5) // 6 - 1] + 1, "base64")
+        if plain and k == 0:
+            return
+
+
+def _base64_layers(layer: Layer) -> Iterator[Layer]:
+    for m in _BASE64.finditer(layer.text):
+        run = m[0].rstrip("=")
+        yield from _decoded_layers(layer, run, np.arange(m.start(), m.start() + len(run)))
+    for m in _WRAPPED.finditer(layer.text):
+        at = np.array([i for i, c in enumerate(m[0], m.start()) if not c.isspace()])
+        yield from _decoded_layers(layer, "".join(m[0].split()), at)
 
 
 def layers_in(layer: Layer, raw: bytes | None = None) -> Iterator[Layer]:
     """The layers one decoding away."""
     if "%" in layer.text and (got := _in_place(layer, _URL, _decode_url, "url")):
         yield got
+    if "%" in layer.text:
+        yield from _packed_url_layers(layer)
     if ("\\" in layer.text or "&#" in layer.text) and (got := _in_place(layer, _ESCAPE, _decode_escape, "escape")):
         yield got
     if _BASE64_RUN in (raw if raw is not None else layer.text.encode("utf-8", "surrogatepass")).translate(_BASE64_TABLE):

@@ -84,3 +84,22 @@ def test_every_place_of_an_equal_encoded_secret_is_reported():
     assert len(spans) == 3 and all(at <= a < b <= at + len(coded) for at, (a, b) in zip(places, spans, strict=True))
     outer = [b64(f"{i} see {coded} there") for i in range(2)]
     assert sum(KINDS[k] == "access" for _, k, _ in find_secrets(" ".join(outer))[1]) == 2
+
+
+@pytest.mark.parametrize(
+    "coded",
+    [
+        *(b64(f"a{c}b {KEY} y") for c in "\u00a0\u3000\u200b\ufeff\f\0"),
+        b64(gzip.compress(zlib.compress(KEY.encode()))),
+        b64(gzip.compress(b"first member ") + gzip.compress(KEY.encode())),
+        urllib.parse.quote(gzip.compress(KEY.encode())),
+        *(f"{word}{sep}" + b64(f"x {KEY} y") for word in ("k", "ab", "key", "path") for sep in "/-_+"),
+        "path/" + b64(gzip.compress(KEY.encode())),
+        "\n".join(re.findall(".{1,26}", b64(f"some words before {KEY} and after"))),
+        b64(f"caf\u00e9 {KEY} y".encode("latin-1")),
+    ],
+)
+def test_layers_are_not_dropped_for_what_lies_beside_the_secret(coded):
+    text = f"see {coded} there"
+    spans = [(a, b) for a, k, b in find_secrets(text)[1] if KINDS[k] == "access"]
+    assert spans and all(4 <= a < b <= 4 + len(coded) for a, b in spans)
