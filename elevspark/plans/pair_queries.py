@@ -317,6 +317,6 @@ def hypso_errors(spark, d):
 
 @query("hypso_integrate")
 def hypso_integrate(spark, d):
-    s = series(spark, d).where("feature < 30").groupBy("feature", "pixel", F.col("year").alias("t")).agg(F.avg("dh").alias("dh"), F.max("err").alias("err"), F.first("ref").alias("ref"))
+    s = series(spark, d).groupBy("feature", "pixel", F.col("year").alias("t")).agg(F.avg("dh").alias("dh"), F.max("err").alias("err"), F.first("ref").alias("ref"))
     out, _ = hypso.integrate(s.withColumn("days", (F.col("pixel") % 400).cast("double")), ["feature"], 900.0)
     return rounded(out.select("feature", "t", "dh", "err_dh", "perc_area_meas", "perc_area_res", "dt", "std_dt", "err_corr_150", "err_corr_200000"))

@@ -97,3 +97,12 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([("a", 2.0)], "dem_id string, uncert double").write.parquet(str(tmp_path / "d2"))
     cli.main(["stack", str(tmp_path / "cells"), str(tmp_path / "d2"), str(tmp_path / "stack")])
     assert spark.read.parquet(str(tmp_path / "stack")).count() == 1
+
+
+def test_hypso_integrate_answers_for_every_feature(spark):
+    from elevspark.plans.pair_queries import QUERIES
+    from elevspark.sources.adapters import series
+
+    d = "/root/testdata/sf0.01"
+    want = {r.feature for r in series(spark, d).select("feature").distinct().collect()}
+    assert {r.feature for r in QUERIES["hypso_integrate"](spark, d).select("feature").distinct().collect()} == want and max(want) >= 30
