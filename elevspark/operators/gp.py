@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 
 from .regression import line, robust_line
 
-#: Z-scores beyond which points go, by iteration; rounds a fit may take.
+#: Z-scores beyond which points go, by iteration.
 LIMITS = (20.0, 12.0, 9.0, 6.0, 4.0)
-MAX_ROUNDS, SPLIT_YEAR = 50, 10.0
+SPLIT_YEAR = 10.0
 
 
 def default_kernel(a: np.ndarray, b: np.ndarray, base: float, nonlinear: float, period: float, unstable: bool) -> np.ndarray:
@@ -73,9 +73,10 @@ def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray,
     if keep.sum() < 2:
         return nothing, nothing, np.zeros(len(t), bool)
     v = err**2
-    removed, final, rounds, total = 1, False, 0, 0
+    removed, final, rounds = 1, False, 0
     mean = sigma = nothing
-    while (removed or not final) and keep.sum() >= 2 and total < MAX_ROUNDS:
+    left = len(t) + 8  # rounds past the fourth that go on remove a point, unless a score is the limit itself
+    while (removed or not final) and keep.sum() >= 2 and left:
         good = keep.copy()
         parameters = _parameters(t[good], z[good], v[good], final, rounds == 0)
         shift = t[good].mean()
@@ -93,7 +94,7 @@ def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray,
         score[~keep] = 0
         removed = int(np.sum(score >= 4))
         keep &= score <= LIMITS[min(rounds, 4)]
-        rounds, total = rounds + 1, total + 1
+        rounds, left = rounds + 1, left - 1
         if final:
             removed = 0
         elif removed == 0 and rounds > 1:

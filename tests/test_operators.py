@@ -237,3 +237,10 @@ def test_resampling_and_overlaps(spark):
 def test_points_on_tile_edges(spark):
     p = spark.createDataFrame([(1, 1.0, 1.0, 5.0), (2, 1.5, 1.5, 5.0), (3, 1.0, 1.0, -201.0)], "id int, lat double, lon double, elev double")
     assert {r.id: r.tile for r in validate.tile_of_points(p).collect()} == {1: "N00E000", 2: "N01E001"}
+
+
+def test_gp_goes_on_while_outliers_go_one_at_a_time(monkeypatch):
+    monkeypatch.setattr(gp, "_predict", lambda kernel, t, y, v, grid: (np.zeros(len(grid)), np.full(len(grid), max(np.abs(y).max() / 4.5, 5))))
+    z = 1.3 ** np.arange(90)
+    _, _, keep = gp.fit_series(np.linspace(0, 16, 90), z, np.ones(90), np.linspace(0, 16, 33))
+    assert 2 <= keep.sum() < 20 and z[keep].max() < 40
