@@ -342,9 +342,13 @@ def majority_epsg(spark, d):
 TARGETS = "targets AS (SELECT event_id AS tid, CAST(event_id % 140 AS DOUBLE) + 3 AS x, CAST(event_id // 140 % 70 AS DOUBLE) + 2.5 AS y FROM events WHERE event_id < 9800)"
 
 
-def targets(spark, d):
+def all_targets(spark, d):
     k = F.col("event_id")
-    return spark.read.parquet(f"{d}/events.parquet").where("event_id < 9800").select(k.alias("tid"), ((k % 140) + 3).cast("double").alias("x"), (F.floor(k / 140) % 70 + 2.5).cast("double").alias("y"))
+    return spark.read.parquet(f"{d}/events.parquet").select(k.alias("tid"), ((k % 140) + 3).cast("double").alias("x"), (F.floor(k / 140) % 70 + 2.5).cast("double").alias("y"))
+
+
+def targets(spark, d):
+    return all_targets(spark, d).where("tid < 9800")
 
 
 @query("resample_bilinear", f"""WITH {OBS}, {PIXELS}, {TARGETS}, f AS (SELECT *, x / 10 - floor(x / 10) AS fx, y / 10 - floor(y / 10) AS fy FROM targets),
@@ -363,7 +367,7 @@ def resample_nearest(spark, d):
 def reproject(spark, d):
     """A raster of zone 33 north moved onto a grid of zone 32."""
     cell = pixels(spark, d).select((F.col("px") + 5000).alias("px"), (F.col("py") + 60000).alias("py"), "ref_z")
-    grid = targets(spark, d).select("tid", "x", "y").withColumn("ll", geo.utm_inverse(500000 + F.col("x") * 100, 6000000 + F.col("y") * 100, F.lit(32633))).withColumn("u", geo.utm_forward(F.col("ll.lat"), F.col("ll.lon"), F.lit(32632)))
+    grid = all_targets(spark, d).select("tid", "x", "y").withColumn("ll", geo.utm_inverse(500000 + F.col("x") * 100, 6000000 + F.col("y") * 100, F.lit(32633))).withColumn("u", geo.utm_forward(F.col("ll.lat"), F.col("ll.lon"), F.lit(32632)))
     moved = geometry.reproject(cell, 32633, 32632, grid.select("tid", F.col("u.x").alias("x"), F.col("u.y").alias("y")), 100.0, value="ref_z")
     return rounded(moved, 3)
 

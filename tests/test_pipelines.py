@@ -106,3 +106,11 @@ def test_hypso_integrate_answers_for_every_feature(spark):
     d = "/root/testdata/sf0.01"
     want = {r.feature for r in series(spark, d).select("feature").distinct().collect()}
     assert {r.feature for r in QUERIES["hypso_integrate"](spark, d).select("feature").distinct().collect()} == want and max(want) >= 30
+
+
+def test_reproject_answers_for_every_event(spark):
+    from elevspark.plans.space_queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    tids = QUERIES["reproject"](spark, d).select("tid").distinct().count()
+    assert tids == spark.read.parquet(f"{d}/events.parquet").select("event_id").distinct().count() > 9800
