@@ -114,3 +114,12 @@ def test_reproject_answers_for_every_event(spark):
     d = "/root/testdata/sf0.01"
     tids = QUERIES["reproject"](spark, d).select("tid").distinct().count()
     assert tids == spark.read.parquet(f"{d}/events.parquet").select("event_id").distinct().count() > 9800
+
+
+def test_volume_series_has_every_step_of_the_cube(spark):
+    from elevspark.plans.pipeline_queries import QUERIES
+    from elevspark.sources.adapters import cube
+
+    d = "/root/testdata/sf0.001"
+    steps = {r.t for r in QUERIES["volume_series"](spark, d).select("t").distinct().collect()}
+    assert steps == {float(r.t) for r in cube(spark, d).select("t").distinct().collect()} and len(steps) > 8
