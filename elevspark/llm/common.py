@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,7 +43,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
     path = staged_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +81,7 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)), F.lit(0)).cast("int")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20, col: str = "text") -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, col: str = "text") -> Iterator[pa.RecordBatch]:
     """Record batches cut so that one holds at most about ``max_bytes`` of text, or one row."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(col)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -83,6 +95,21 @@ def sliced(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20, col: st
             yield batch.slice(start)
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow; what a partition held goes back to the system at its end, for workers idle beside others."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def label_rows(labels: DataFrame, what: str) -> DataFrame:
     """(doc_id, y): one row per document that has a label; of contradicting rows the larger label counts."""
     return labels.where(F.col(what).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(what).cast("int")).alias("y"))

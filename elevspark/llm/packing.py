@@ -13,8 +13,8 @@ made from the number of pieces of each length, ``capacity`` numbers however many
   fits best; new sequences open only when nothing fits.
 
 Sequences of one make are handled as a run, so the plan's size depends on the lengths that occur and
-not on the number of pieces. Executors number the pieces of a length (salted, so a frequent length
-is no single task's) and look the number up in the plan.
+not on the number of pieces. Executors number the pieces of a length, dealt into salts of about
+``NUMBERED`` (so a frequent length is no single task's), and look the number up in the plan.
 
 Null text counts as empty: one piece holding the end id. Repeated rows are packed as often as they
 occur. An empty table gives an empty result. Input columns other than doc_id and text are ignored.
@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, staged, table
-from .tokens import encoder, vocabulary_path
+from .common import lean, sliced, staged, table
+from .tokens import REMEMBERED, SLICE, encoder, vocabulary_path
 
 CAPACITY, END_ID = 4096, 1
-LARGE, GROUPS, SALTS = 8, 48, 64
+LARGE, GROUPS = 8, 48
+#: Pieces of one length that a task numbers.
+NUMBERED = 1 << 20
 
 
 def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
@@ -206,13 +208,13 @@ def _pack_large(plan: _Plan, left: np.ndarray, capacity: int, small: int, groups
             plan.add(first + lo, hi - lo, room, held)
 
 
-def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool, remembered: int = REMEMBERED):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 8 << 20):
+        for batch in sliced(batches, SLICE):
             docs, piece, start, length, crc, held = [], [], [], [], [], []
-            encoded = encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])
+            encoded = encoder(path, remembered).encode([t or "" for t in batch.column("text").to_pylist()])
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -233,25 +235,30 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False, numbered: int = NUMBERED, remembered: int = REMEMBERED) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset. ``remembered``: pieces of text whose ids a worker keeps."""
     spark, path = docs.sparkSession, vocabulary or vocabulary_path()
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    pieces = docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, end_id, with_ids), schema)
-    pieces = staged(pieces.withColumn("rid", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")), "pieces")
-    salted = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity x SALTS rows
-    per = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in salted:
-        per[r["length"], r["salt"]] = r["n"]
-    plan = plan_packing(per.sum(axis=1), capacity)
-    plan["ranks"] = np.cumsum(per, axis=1) - per  # of a salt's first piece within its length
+    pieces = docs.select("doc_id", "text").mapInArrow(lean(_pieces(path, capacity, end_id, with_ids, remembered)), schema)
+    pieces = staged(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
+        counts[r["length"]] = r["n"]
+    parts = np.maximum(-(-counts // numbered), 1)
+    few = spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "length long, parts int")
+    pieces = pieces.join(F.broadcast(few), "length").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")).drop("parts")
+    begin, per = np.cumsum(parts) - parts, np.zeros(int(parts.sum()), np.int64)
+    for r in pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows and one in ``numbered`` pieces
+        per[begin[r["length"]] + r["salt"]] = r["n"]
+    plan = plan_packing(counts, capacity)
+    plan |= {"begin": begin, "ranks": np.cumsum(per) - per}  # of a salt's first piece, over all lengths
     sent = spark.sparkContext.broadcast(plan)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         for batch in batches:
             length, salt, nth = (batch.column(c).to_numpy() for c in ("length", "salt", "nth"))
-            place = p["starts"][length] + p["ranks"][length, salt] + nth - 1
+            place = p["ranks"][p["begin"][length] + salt] + nth - 1
             at = np.searchsorted(p["place"], place, "right") - 1
             k = place - p["place"][at]
             sequence = p["first"][at] + k // p["copies"][at]
@@ -260,8 +267,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_
             columns = [*(batch.column(i) for i in keep), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
-    numbered = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("rid")).cast("long"))
-    return numbered.mapInArrow(look_up, schema + ", sequence_id long, offset long")
+    order = [c.split()[0] for c in schema.split(", ")]
+    rows = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("rid")).cast("long"))
+    return rows.select(*order, "rid", "salt", "nth").mapInArrow(look_up, schema + ", sequence_id long, offset long")
 
 
 def op5_pack_documents(spark, sf_dir: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 A text's ids are the ids of its pieces between ASCII white space, in order: the vocabularies used
 here drop white space before any merge, so no token spans it. Each Python worker keeps the ids of
-the pieces it has met (bounded, emptied when full) and asks the library for those it has not.
-Vocabularies for which this does not hold are asked for whole texts.
+the pieces it has met and asks the library for those it has not; when it holds too many it forgets
+those that the last slice of texts did not have. Vocabularies for which this does not hold are asked
+for whole texts.
 
 The digest cache is a Parquet folder (content, tokenizer, n_tokens). ``content`` is the SHA-256 of
-the normalised text (runs of ASCII white space as one blank, none at the ends, which such
-vocabularies cannot tell apart), ``tokenizer`` that of the vocabulary file and the settings. Counting joins the
-digests of all documents with the cache, encodes one text of each digest that misses, appends, and
-joins again. Appending twice is harmless: equal keys have equal counts.
+the normalised text: runs of ASCII white space as one blank, none at the ends, for vocabularies that
+cannot tell these apart; the text itself for all others. ``tokenizer`` is that of the vocabulary
+file, the settings and the kind of normalisation. Counting joins the digests of all documents with the
+cache, encodes one text of each digest that misses, appends, and joins again. Appending twice is
+harmless: equal keys have equal counts. The query's cache is the folder that the setting
+``spark.elevspark.tokenCache`` names; where it is unset a new one is begun with each call.
 
 Null and empty texts have 0 tokens; special strings inside texts become special tokens as is the
 library's default; nothing is truncated. Rows may repeat; each gives a row. Other columns are
@@ -28,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, sliced, staged, staged_path, table, text_of
+from .common import SPACES, lean, sliced, staged, staged_path, table, text_of
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Pieces that a worker remembers, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 600_000, 64
+#: Pieces that a worker remembers, and the longest piece worth remembering; bytes of text encoded together.
+REMEMBERED, LONGEST, SLICE = 600_000, 64, 4 << 20
+CACHE_SETTING = "spark.elevspark.tokenCache"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -46,8 +50,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
-        self.path, self.known = path, {}
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.path, self.known, self.remembered = path, {}, remembered
         if path.endswith(".json"):
             import json
 
@@ -56,16 +60,15 @@ class Encoder:
             self.tok = Tokenizer.from_file(path)
             self.tok.no_truncation()
             self.tok.no_padding()
-            rule = json.load(open(path))
-            added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in rule["added_tokens"])
-            split = next((p for p in (rule.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
-            mark = next((t for t in rule["added_tokens"] if t["special"] and not t["normalized"]), None)
-            self.mark = (mark["content"], mark["id"]) if mark else None
+            pre, norm = (json.loads(x.__getstate__()) if x else {} for x in (self.tok.pre_tokenizer, self.tok.normalizer))
+            specials = self.tok.get_added_tokens_decoder()
+            added = all(not (t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content)) for t in specials.values())
+            steps, tail = [n["type"] for n in norm.get("normalizers", [])], pre.get("pretokenizers", [])
+            split = next((p for p in tail if p["type"] == "Split"), None)
+            self.mark = next(((t.content, i) for i, t in sorted(specials.items()) if t.special and not t.normalized), None)
             # Words and closing marks are separate and case is dropped: what ``encode`` needs to hold of the rule.
-            steps = [n["type"] for n in (rule.get("normalizer") or {}).get("normalizers", [])]
-            tail = [n["type"] for n in (rule.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-            added = added and "Lowercase" in steps and "NFC" in steps and tail == ["Split", "ByteLevel"] and rule["model"]["type"] == "BPE"
-            self.by_piece = added and split is not None and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"].get("Regex", "")
+            added = added and "Lowercase" in steps and "NFC" in steps and [p["type"] for p in tail] == ["Split", "ByteLevel"] and type(self.tok.model).__name__ == "BPE"
+            self.by_piece = added and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"].get("Regex", "")
         else:
             import sentencepiece
 
@@ -102,10 +105,9 @@ class Encoder:
         """The ids of each text."""
         if not self.by_piece:
             return self._ask(texts)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
         known, pieces = self.known, [_split(t) for t in texts]
-        new = set().union(*pieces).difference(known)
+        here = set().union(*pieces)
+        new = here.difference(known)
         ask, lows, made = set(), set(), []
         for p in new:
             word = p.rstrip(".,;:!?")
@@ -125,13 +127,16 @@ class Encoder:
         for low in lows.difference(known):  # normalised and split already: straight to the merges
             form = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(_BYTE_LEVEL)
             known[low] = array.array("I", [t.id for t in tokenize(form)]).tobytes()
-        got = self._ask_pieces(list(ask))
-        extra = {p: ids for p, ids in got.items() if len(p) > LONGEST}
-        known.update((p, ids) for p, ids in got.items() if len(p) <= LONGEST)
-        look = {**known, **extra} if extra else known
+        known.update(self._ask_pieces(list(ask)))
         for p, low, marks in made:
-            look[p] = look[low] + look[marks] if marks else look[low]
-        return [b"".join(map(look.__getitem__, ps)) for ps in pieces]
+            known[p] = known[low] + known[marks] if marks else known[low]
+        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        for p in [p for p in new if len(p) > LONGEST]:
+            known.pop(p)
+            known.pop(p.rstrip(".,;:!?").lower(), None)
+        if len(known) > self.remembered:
+            self.known = {p: known[p] for p in here if p in known}
+        return out
 
 
 def _byte_level() -> dict[int, int]:
@@ -155,26 +160,28 @@ _ODD, _WORD = re.compile("[\x1c-\x1f]"), re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 def tokenizer_digest(path: str) -> str:
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + b"|no special tokens added|1").hexdigest()
+        return hashlib.sha256(f.read() + b"|no special tokens added|" + (b"1" if encoder(path).by_piece else b"whole texts")).hexdigest()
 
 
-def normalised(text):
+def normalised(text, by_piece: bool = True):
     """The content that the cache knows."""
+    if not by_piece:
+        return text
     return F.regexp_replace(F.btrim(text, F.lit(SPACES)), r"[\x20\x09-\x0D]+", " ")
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 8 << 20):
+        for batch in sliced(batches, SLICE):
             ids = encoder(path).encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array([len(x) // 4 for x in ids], pa.int64())], ["content", "n_tokens"])
 
@@ -196,14 +203,15 @@ def token_counts(docs: DataFrame, cache: str | None = None, vocabulary: str | No
     path = vocabulary or vocabulary_path()
     cache, version = cache or staged_path(spark, "token-cache"), tokenizer_digest(path)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("row_id"), text_of().alias("text"))
-    content = F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
+    plain = normalised(F.col("text"), encoder(path).by_piece)
+    content = F.unhex(F.sha2(F.encode(plain, "UTF-8"), 256))
     digests = staged(rows.select("doc_id", "row_id", F.octet_length("text").cast("long").alias("n_bytes"), content.alias("content")), "digests")
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version)
     # One row of each digest that misses. Texts then travel by (row, digest), so many copies of one are no task's alone.
     misses = staged(digests.groupBy("content").agg(F.min("row_id").alias("row_id")).join(stored, "content", "left_anti"), "misses")
-    texts = rows.select("row_id", content.alias("content"), normalised(F.col("text")).alias("text"))
+    texts = rows.select("row_id", content.alias("content"), plain.alias("text"))
     misses = texts.join(misses, ["row_id", "content"], "left_semi").groupBy("row_id", "content").agg(F.first("text").alias("text")).select("content", "text")
-    counted = misses.mapInArrow(_count(path), "content binary, n_tokens long")
+    counted = misses.mapInArrow(lean(_count(path)), "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     found = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     # Written first: a join beside the grouping it rests on could not split the rows of a digest with many copies.
@@ -211,4 +219,4 @@ def token_counts(docs: DataFrame, cache: str | None = None, vocabulary: str | No
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    return token_counts(table(spark, sf_dir, "documents"), spark.conf.get(CACHE_SETTING, None)).withColumn("over_limit", F.col("n_tokens") > LIMIT)
