@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -28,8 +28,10 @@ def components(links: DataFrame) -> DataFrame:
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = staged(both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(edges)
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(large)
         now = _state(edges)
         if now == state:
             break

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sliced, table
+from .common import fold, lean, sliced, table
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE, BUCKETS, SWITCH, SEED = 6000, 1 << 15, 8.0, 11
@@ -109,7 +109,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     langs = sorted(r["y"] for r in rows.select("y").distinct().collect())
     if not langs:
         return None
-    sums = rows.mapInArrow(_count(langs), "y string, key long, n long").groupBy("y", "key").agg(F.sum("n").alias("n")).collect()
+    sums = rows.mapInArrow(lean(_count(langs)), "y string, key long, n long").groupBy("y", "key").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
     for r in sums:
         counts[langs.index(r["y"]), r["key"]] = r["n"]
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: dict | None, penalty: float = SWITCH) -> Da
     """doc_id, lang_pred, score and lang_spans (start, end, lang; code points) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_predict(sent, penalty), f"doc_id {kind}, lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(_predict(sent, penalty)), f"doc_id {kind}, lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

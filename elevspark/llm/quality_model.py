@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, label_rows, sliced, staged, table
+from .common import bounded_sample, fold, label_rows, lean, sliced, staged, table
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 SAMPLE, PARTS, SEED = 12000, 16, 31
 BUCKETS, DIMS, NONZERO, WINDOW = 1 << 14, 40, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 3e-3, 1e-4
 #: Words that a worker remembers the tokens of.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _PART = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
 #: Buckets of the shape marks.
@@ -118,6 +118,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["sums"])
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the sum of all rows. Entries are whole numbers, so their order is immaterial."""
+    total = np.zeros(BUCKETS * DIMS, np.float64)
+    for batch in batches:
+        for sums in batch.column("sums"):
+            total += np.frombuffer(sums.as_buffer(), "<f4")
+    yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["sums"])
+
+
 def token_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     return np.concatenate([unit(index), unit(sums)], axis=1).astype(np.float32)
@@ -195,11 +204,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     if not counts.get(0) or not counts.get(1):
         return {"share": counts.get(1, 0) / max(sum(counts.values()), 1)}
     sums = np.zeros((BUCKETS, DIMS))
-    for r in rows.select("text").repartition(PARTS).mapInArrow(_contexts, "sums binary").toLocalIterator():
-        sums += np.frombuffer(bytes(r["sums"]), "<f4").reshape(BUCKETS, DIMS)
+    parts = staged(rows.select("text").repartition(PARTS).mapInArrow(lean(_contexts), "sums binary"), "context-sums")
+    for r in parts.coalesce(1).mapInArrow(lean(_added), "sums binary").collect():  # one row of BUCKETS x DIMS numbers
+        sums = np.frombuffer(bytes(r["sums"]), "<f4").reshape(BUCKETS, DIMS)
     vectors = token_vectors(sums, index_vectors())
     sent = spark.sparkContext.broadcast(vectors)
-    data = rows.select("y", "text").mapInArrow(_pool(sent, "y"), "y int, x binary")
+    data = rows.select("y", "text").mapInArrow(lean(_pool(sent, "y")), "y int, x binary")
     data = data.toPandas().sort_values(["x", "y"])  # at most ``sample`` rows, in an order that does not depend on the tasks
     x, y = np.stack([np.frombuffer(b, "<f4") for b in data["x"]]).astype(float), data["y"].to_numpy(float)
     order = np.random.default_rng(SEED).permutation(len(y))
@@ -229,7 +239,7 @@ def _score(sent):
 def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and quality_score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_score(sent), f"doc_id {dict(docs.dtypes)['doc_id']}, quality_score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(_score(sent)), f"doc_id {dict(docs.dtypes)['doc_id']}, quality_score double")
 
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -238,12 +248,17 @@ def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Dat
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = Tokens()
-        for batch in sliced(batches):
-            yield batch.filter(pa.array(_scores(sent.value, tokens, batch.column("text").to_pylist()) >= threshold))
+        for batch in batches:
+            parts = sliced(iter([pa.RecordBatch.from_arrays([batch], ["text"])]))
+            yield pa.array(np.concatenate([_scores(sent.value, tokens, part.column("text").to_pylist()) for part in parts] or [np.zeros(0)]), pa.float64())
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:  # only the text travels to Python
+        yield from lean(run)(texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scored(F.col("text")) >= threshold)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> dict:

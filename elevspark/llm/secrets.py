@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sliced, table
+from .common import lean, sliced, table
 
 #: The kinds in order.
 KINDS = ("assign", "access", "hex")
@@ -268,7 +268,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, the counts and digest of the base spans, all spans as text and as ``found`` with their decodings."""
-    return docs.select("doc_id", "text").mapInArrow(_run, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCHEMA}")
+    return docs.select("doc_id", "text").mapInArrow(lean(_run), f"doc_id {dict(docs.dtypes)['doc_id']}, {SCHEMA}")
 
 
 def op8_scan_secrets(spark, sf_dir: str) -> DataFrame:

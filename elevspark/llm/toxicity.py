@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, label_rows, sliced, staged, table
+from .common import bounded_sample, fold, label_rows, lean, sliced, staged, table
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 SAMPLE, VOCABULARY, MIN_DOCS, SEED = 12000, 6000, 4, 23
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     if not ones or not zeros:
         share = ones / max(ones + zeros, 1)
         return {"weights": {}, "intercept": float(np.log((share + 1e-9) / (1 - share + 1e-9)))}
-    tally = rows.mapInArrow(_tally, "feature string, y int, half int, n long").groupBy("feature")
+    tally = rows.mapInArrow(lean(_tally), "feature string, y int, half int, n long").groupBy("feature")
     seen = lambda y, h: F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n"))), F.lit(0))
     counts = tally.agg(*[seen(y, h).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)])
     a, c = F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01")
@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         t1, t0 = sizes.get((1, h), 0) + 1.0, sizes.get((0, h), 0) + 1.0
         half_odds[h] = [np.log((r[f"n1{h}"] + 0.3) / t1) - np.log((r[f"n0{h}"] + 0.3) / t0) if r[f"n1{h}"] >= 2 else 0 for r in top]
     sent = spark.sparkContext.broadcast({f: i for i, f in enumerate(vocabulary)})
-    data = rows.mapInArrow(_votes(sent), "y int, half int, found array<int>, votes array<int>").toPandas()
+    data = rows.mapInArrow(lean(_votes(sent)), "y int, half int, found array<int>, votes array<int>").toPandas()
     found = [np.asarray(x, int) for x in data["found"]]
     kind = np.array([int(f[0]) if f[0].isdigit() else 0 for f in vocabulary], int)
     shard = np.arange(len(vocabulary)) % SHARDS
@@ -208,7 +208,7 @@ def _score(sent):
 def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("weights", "intercept")})
-    return docs.select("doc_id", "text").mapInArrow(_score(sent), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(_score(sent)), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
