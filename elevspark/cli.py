@@ -54,11 +54,13 @@ def main(argv: list[str] | None = None) -> None:
         out = readers.build_stack(read(a.cells), read(a.dem), read(a.ref) if a.ref else None, a.below, a.above, a.uncert)
         readers.write_table(out, a.out, ("tile",) if "tile" in out.columns else ())
     elif a.what == "fit":
+        obs = read(a.obs)
+        keys = ("tile",) if "tile" in obs.columns else ()
         fitted = pipelines.fit_stack(
-            read(a.obs), read(a.dem), read(a.ref), a.method, None if a.prefilter == "none" else a.prefilter, res=a.res, step=a.step, span=tuple(a.span) if a.span else None,
-            wls_filter=a.wls_filter, max_uncert=a.max_uncert, conf=a.conf, conf_filter=a.conf_filter,
+            obs, read(a.dem), read(a.ref), a.method, None if a.prefilter == "none" else a.prefilter, res=a.res, step=a.step, span=tuple(a.span) if a.span else None,
+            wls_filter=a.wls_filter, max_uncert=a.max_uncert, conf=a.conf, conf_filter=a.conf_filter, keys=keys,
         )
-        readers.write_table(fitted, a.out)
+        readers.write_table(fitted, a.out, keys)
     else:
         readers.write_table(pipelines.regional_rates(read(a.series), read(a.base), tuple(a.lengths)), a.out)
 

@@ -109,19 +109,20 @@ def multi_annual(df: DataFrame, lengths: tuple[int, ...] = (1, 2, 4, 5, 10, 20),
 
 
 def period_rates(df: DataFrame, periods: DataFrame, keys: list[str], t: str = "time", areas: DataFrame | None = None) -> DataFrame:
-    """Rates of each group over each period (start, end; years), between the dates nearest to its ends.
+    """Rates of each group over each period (start, end; decimal years), between the dates nearest to its ends.
 
     ``areas``: keys, year, tarea (square metres); without it the area is the group's own. Observations are
     those from the first date up to the last.
     """
     df = cut(df)  # some hundred rows a group, read six times below
-    steps = annual_dates(df, keys, t, 1900, 201)
-    state = steps.join(df.select(*keys, t, "dvol", "err_dh"), [*keys, t]).select(*keys, "year", F.col(t).alias("_t"), "dvol", "err_dh")
-    one = state.select(*keys, F.col("year").alias("start"), F.col("_t").alias("t0"), F.col("dvol").alias("v0"), F.col("err_dh").alias("e0"))
-    two = state.select(*keys, F.col("year").alias("end"), F.col("_t").alias("t1"), F.col("dvol").alias("v1"), F.col("err_dh").alias("e1"))
+    ends = periods.select(F.col("start").cast("double").alias(t)).union(periods.select(F.col("end").cast("double"))).distinct()
+    wanted = df.select(*keys).distinct().crossJoin(F.broadcast(ends))  # a row per group and end of a period: the result's size
+    state = nearest(wanted, df.select(*keys, F.col(t).cast("double").alias(t), "dvol", "err_dh"), keys, t, ["dvol", "err_dh"])
+    one = state.select(*keys, F.col(t).alias("_start"), F.col("near_t").alias("t0"), F.col("near_dvol").alias("v0"), F.col("near_err_dh").alias("e0"))
+    two = state.select(*keys, F.col(t).alias("_end"), F.col("near_t").alias("t1"), F.col("near_dvol").alias("v1"), F.col("near_err_dh").alias("e1"))
     fixed = df.groupBy(*keys).agg(*[F.min_by(c, t).alias(c) for c in ("area", "perc_err_cont", "perc_area_meas", "perc_area_res", "area_nodata")])
-    p = F.broadcast(periods)  # some tens of periods, given by the caller
-    out = one.join(p, "start").join(two, [*keys, "end"]).join(fixed, keys)
+    p = F.broadcast(periods.withColumn("_start", F.col("start").cast("double")).withColumn("_end", F.col("end").cast("double")))  # some tens of periods, given by the caller
+    out = one.join(p, "_start").join(two, [*keys, "_end"]).join(fixed, keys)
     obs = df.select(*keys, F.col(t).alias("_t"), "valid_obs", "valid_obs_py")
     seen = out.select(*keys, "start", "end", "t0", "t1").join(obs, keys).where((F.col("_t") >= F.col("t0")) & (F.col("_t") < F.col("t1")))
     seen = seen.groupBy(*keys, "start", "end").agg(F.sum("valid_obs").alias("valid_obs"), F.sum("valid_obs_py").alias("valid_obs_py"))

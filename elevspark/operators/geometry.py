@@ -102,8 +102,8 @@ def reference_tiles(tiles: DataFrame, box: tuple[float, float, float, float], le
 
 
 def merge_stacks(stacks: DataFrame, keys: list[str], value: str = "z") -> DataFrame:
-    """One value a key over overlapping stacks; ``conflict`` tells where they disagree."""
-    return stacks.groupBy(*keys).agg(F.first(value, ignorenulls=True).alias(value), (F.count_distinct(value) > 1).alias("conflict"))
+    """One value a key over overlapping stacks, the smallest; ``conflict`` tells where they disagree."""
+    return stacks.groupBy(*keys).agg(F.min(value).alias(value), (F.count_distinct(value) > 1).alias("conflict"))
 
 
 def majority_epsg(stacks: DataFrame) -> DataFrame:

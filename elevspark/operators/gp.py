@@ -11,8 +11,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .regression import line, robust_line
+from ..sources.staging import cut
+from .regression import dealt, line, robust_line
 
 #: Z-scores beyond which points go, by iteration.
 LIMITS = (20.0, 12.0, 9.0, 6.0, 4.0)
@@ -20,12 +22,34 @@ SPLIT_YEAR = 10.0
 
 
 def default_kernel(a: np.ndarray, b: np.ndarray, base: float, nonlinear: float, period: float, unstable: bool) -> np.ndarray:
-    d, product = a[:, None] - b[None, :], a[:, None] * b[None, :]
-    k = product + 30 * np.exp(-2 * np.sin(np.pi * d) ** 2)
-    if unstable:
-        short = sum(share * np.exp(-(d**2) / (2 * scale**2)) for share, scale in ((0.6, 0.75), (0.3, 1.5), (0.1, 3.0)))
-        k = k + base * short + product * nonlinear * (1 + d**2 / (20 * period**2)) ** -10
-    return k
+    return _Distances(a, b, unstable).kernel(a, b, base, nonlinear, period)
+
+
+class _Distances:
+    """What the default kernel takes from distances alone: the rounds of a fit share it."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, unstable: bool):
+        d = a[:, None] - b[None, :]
+        self.unstable, self.square, self.yearly = unstable, d * d, 30 * np.exp(-2 * np.sin(np.pi * d) ** 2)
+        if unstable:
+            self.short = sum(share * np.exp(-self.square / (2 * scale**2)) for share, scale in ((0.6, 0.75), (0.3, 1.5), (0.1, 3.0)))
+
+    def of(self, columns: np.ndarray, rows: np.ndarray | None = None) -> _Distances:
+        out = object.__new__(_Distances)
+        out.unstable = self.unstable
+        for name in ("square", "yearly", *(("short",) if self.unstable else ())):
+            part = getattr(self, name)[:, columns]
+            setattr(out, name, part if rows is None else part[rows])
+        return out
+
+    def kernel(self, a: np.ndarray, b: np.ndarray, base: float, nonlinear: float, period: float) -> np.ndarray:
+        product = a[:, None] * b[None, :]
+        k = product + self.yearly
+        if self.unstable:
+            k = k + base * self.short
+            if nonlinear:
+                k = k + product * nonlinear * (1 + self.square / (20 * period**2)) ** -10
+        return k
 
 
 def _parameters(t: np.ndarray, y: np.ndarray, v: np.ndarray, final: bool, first: bool) -> tuple[float, float, float]:
@@ -48,19 +72,19 @@ def _parameters(t: np.ndarray, y: np.ndarray, v: np.ndarray, final: bool, first:
 
 
 def _predict(kernel, t, y, v, grid):
-    gram = kernel(t, t) + np.diag(v)
+    """Mean and deviation on ``grid`` from observations with variances ``v``; ``kernel(t, grid)``: covariances among t, of grid and t, variances on grid."""
+    gram, cross, own = kernel(t, grid)
+    gram = gram + np.diag(v)
     jitter = 0.0
     for _ in range(6):
         try:
-            low = np.linalg.cholesky(gram + jitter * np.eye(len(t)))
+            low = np.linalg.cholesky(gram + jitter * np.eye(len(y)))
             break
         except np.linalg.LinAlgError:
-            jitter = max(jitter * 100, 1e-10 * np.trace(gram) / len(t))
-    cross = kernel(grid, t)
-    half = np.linalg.solve(low, cross.T)
-    mean = half.T @ np.linalg.solve(low, y)
-    var = np.maximum(np.diag(kernel(grid, grid)) - np.sum(half**2, axis=0), 0)
-    return mean, np.sqrt(var)
+            jitter = max(jitter * 100, 1e-10 * np.trace(gram) / len(y))
+    half = np.linalg.solve(low, np.column_stack([cross.T, y]))
+    mean = half[:, :-1].T @ half[:, -1]
+    return mean, np.sqrt(np.maximum(own - np.sum(half[:, :-1] ** 2, axis=0), 0))
 
 
 def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray, unstable: bool = True, robust_trend: bool = False, kernel=None):
@@ -75,6 +99,9 @@ def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray,
     v = err**2
     removed, final, rounds = 1, False, 0
     mean = sigma = nothing
+    places = np.flatnonzero(keep)
+    if kernel is None:
+        among, across = _Distances(t[places], t[places], unstable), _Distances(grid, t[places], unstable)
     left = len(t) + 8  # rounds past the fourth that go on remove a point, unless a score is the limit itself
     while (removed or not final) and keep.sum() >= 2 and left:
         good = keep.copy()
@@ -87,8 +114,15 @@ def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray,
             base_obs, base_grid = slope * t + intercept, slope * grid + intercept
         else:
             base_obs, base_grid = np.full(len(t), z[good].mean()), np.full(len(grid), z[good].mean())
-        k = kernel or (lambda a, b, p=parameters: default_kernel(a, b, *p, unstable))
-        mean, sigma = _predict(k, t[good] - shift, z[good] - base_obs[good], v[good], grid - shift)
+        at = np.flatnonzero(good[places])
+
+        def covariances(a, b, at=at, p=parameters):
+            if kernel is not None:
+                return kernel(a, a), kernel(b, a), np.diag(kernel(b, b))
+            own = b * b + 30 + (p[0] + b * b * p[1] if unstable else 0)
+            return among.of(at, at).kernel(a, a, *p), across.of(at).kernel(b, a, *p), own
+
+        mean, sigma = _predict(covariances, t[good] - shift, z[good] - base_obs[good], v[good], grid - shift)
         score = np.abs(z - base_obs - np.interp(t, grid, mean)) / np.maximum(np.interp(t, grid, sigma), 1e-12)
         mean = mean + base_grid
         score[~keep] = 0
@@ -104,8 +138,8 @@ def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray,
     return mean, sigma, keep
 
 
-def fit_gp(df: DataFrame, keys: list[str], grid: list[float], t: str = "t", z: str = "z", err: str = "err", unstable: str | None = None, robust_trend: bool = False, kernel=None) -> DataFrame:
-    """keys, t, z, z_ci on ``grid`` (in the unit of ``t``, years) and n_kept for every group."""
+def _fits(df: DataFrame, keys: list[str], grid: list[float], t: str, z: str, err: str, unstable: str | None, robust_trend: bool, kernel) -> DataFrame:
+    """A row per group: keys, z and z_ci on the grid, the times of its observations and whether each is kept."""
     types = dict(df.dtypes)
     at = np.asarray(grid, float)
     cols = [*keys, t, z, err, *([unstable] if unstable else [])]
@@ -113,8 +147,27 @@ def fit_gp(df: DataFrame, keys: list[str], grid: list[float], t: str = "t", z: s
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([t, z])
         flag = bool(pdf[unstable].iloc[0]) if unstable else True
-        mean, sigma, keep = fit_series(pdf[t].to_numpy(float), pdf[z].to_numpy(float), pdf[err].to_numpy(float), at, flag, robust_trend, kernel)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "t": at, "z": mean, "z_ci": sigma, "n_kept": int(keep.sum())})
+        times = pdf[t].to_numpy(float)
+        mean, sigma, keep = fit_series(times, pdf[z].to_numpy(float), pdf[err].to_numpy(float), at, flag, robust_trend, kernel)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "z": [mean], "z_ci": [sigma], "times": [times], "kept": [keep]})
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", z array<double>, z_ci array<double>, times array<double>, kept array<boolean>"
+    return dealt(df.select(*cols), keys).groupBy(*keys).applyInPandas(run, schema)
+
+
+def _series(fits: DataFrame, keys: list[str], grid: list[float]) -> DataFrame:
+    at = F.array(*[F.lit(float(x)) for x in grid])
+    n = F.size(F.filter("kept", lambda x: x)).cast("long").alias("n_kept")
+    return fits.select(*keys, F.explode(F.arrays_zip(at.alias("t"), "z", "z_ci")).alias("s"), n).select(*keys, "s.t", "s.z", "s.z_ci", "n_kept")
+
+
+def fit_gp(df: DataFrame, keys: list[str], grid: list[float], t: str = "t", z: str = "z", err: str = "err", unstable: str | None = None, robust_trend: bool = False, kernel=None) -> DataFrame:
+    """keys, t, z, z_ci on ``grid`` (in the unit of ``t``, years) and n_kept for every group."""
+    return _series(_fits(df, keys, grid, t, z, err, unstable, robust_trend, kernel), keys, grid)
+
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", t double, z double, z_ci double, n_kept long"
-    return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
+def fit_gp_kept(df: DataFrame, keys: list[str], grid: list[float], t: str = "t", z: str = "z", err: str = "err", unstable: str | None = None, robust_trend: bool = False, kernel=None) -> tuple[DataFrame, DataFrame]:
+    """(series as of :func:`fit_gp`, (keys, t, kept) of every observation), both from one fit."""
+    fits = cut(_fits(df, keys, grid, t, z, err, unstable, robust_trend, kernel))
+    kept = fits.select(*keys, F.explode(F.arrays_zip(F.col("times").alias("t"), "kept")).alias("s")).select(*keys, "s.t", "s.kept")
+    return _series(fits, keys, grid), kept

@@ -168,15 +168,17 @@ def integrate(obs: DataFrame, keys: list[str], pixel_area: float, t: str = "t",
     """(series, bins) of features from dh, err, ref and days per pixel and date.
 
     series: keys, t, dh, err_dh, err_corr_*, perc_area_meas, perc_area_res, dt, std_dt. bins: keys, bin, bin_mid, t, mean, all_err, lin_err.
-    Pixels whose error at the feature's last date passes 500 count as void.
+    Pixels whose error at the feature's last date passes 500 count as void. A feature that is void everywhere has its
+    dates with null dh and errors.
     """
-    last = F.max(t).over(Window.partitionBy(*keys))
-    end = F.max(F.when(F.col(t) == F.col("_last"), F.col("err"))).over(Window.partitionBy(*keys, "pixel"))
-    obs = obs.withColumn("_last", last).withColumn("_end", end)
+    obs = obs.join(obs.groupBy(*keys).agg(F.max(t).alias("_last")), keys)
+    end = obs.where(F.col(t) == F.col("_last")).groupBy(*keys, "pixel").agg(F.max("err").alias("_end"))
+    obs = obs.join(end, [*keys, "pixel"], "left")
     obs = cut(elevation_bins(obs, keys, size=size).withColumn("dh", F.when(F.col("_end") <= LARGEST_ERROR, F.col("dh"))))
-    areas = obs.groupBy(*keys, "bin", "bin_mid").agg((F.count_distinct("pixel") * pixel_area).alias("area"), (F.count_distinct(F.when(F.col("dh").isNotNull(), F.col("pixel"))) * pixel_area).alias("area_res"))
+    pixels = obs.groupBy(*keys, "bin", "bin_mid", "pixel").agg(F.max(F.col("dh").isNotNull().cast("int")).alias("_has"))
+    areas = pixels.groupBy(*keys, "bin", "bin_mid").agg((F.count("*") * pixel_area).alias("area"), (F.sum("_has") * pixel_area).alias("area_res"))
     clean = cut(drop_outliers(obs.where("dh IS NOT NULL").withColumn("_final", F.col(t) == F.col("_last")), [*keys, "bin"], "_final"))
-    seen = clean.groupBy(*keys, "bin").agg((F.count_distinct("pixel") * pixel_area).alias("area_meas"))
+    seen = clean.select(*keys, "bin", "pixel").distinct().groupBy(*keys, "bin").agg((F.count("*") * pixel_area).alias("area_meas"))
     feature = areas.groupBy(*keys).agg(F.sum("area").alias("feature_area"))
     areas = areas.join(seen, [*keys, "bin"], "left").fillna(0.0, ["area_meas"]).join(feature, keys)
     means = bin_means(clean, [*keys, "bin", t])
@@ -185,10 +187,10 @@ def integrate(obs: DataFrame, keys: list[str], pixel_area: float, t: str = "t",
     bins = cut(fill_voids(cut(bin_errors(grid.withColumn("std", sill), size)), [*keys, t]))
     geo = bins.where("n IS NOT NULL").groupBy(*keys, "bin", "bin_mid").agg(F.max("geo_err").alias("err"), F.first("area").alias("area"), F.pow(F.lit(10.0), 2 + F.first("feature_area") / 1e6 / 2.5).alias("crange")).withColumn("slope", F.lit(DEFAULT_SLOPE))
     geo = hypso_covariance(geo, keys, size=size).withColumnRenamed("err_total", "geo_total")
-    total = bins.groupBy(*keys, t).agg((F.coalesce(F.sum(F.col("mean") * F.col("area")), F.lit(0.0)) / F.max("feature_area")).alias("dh"), F.sum("area_meas").alias("area_meas"), F.sum("area_res").alias("area_res"), F.max("feature_area").alias("area"))
+    total = bins.groupBy(*keys, t).agg(F.try_divide(F.sum(F.col("mean") * F.col("area")), F.max("feature_area")).alias("dh"), F.sum("area_meas").alias("area_meas"), F.sum("area_res").alias("area_res"), F.max("feature_area").alias("area"))
     lag = correlated_errors(obs, [*keys, t])
     days = obs.groupBy(*keys, t).agg(F.avg("days").alias("dt"), F.stddev_pop("days").alias("std_dt"))
     out = integrated_errors(total.join(lag, [*keys, t])).join(geo, keys, "left").join(days, [*keys, t])
     err = F.sqrt(F.col("num_err") * F.col("num_err") + F.coalesce(F.col("geo_total") * F.col("geo_total"), F.lit(0.0)))
-    series = out.withColumn("err_dh", err).withColumn("perc_area_meas", F.col("area_meas") / F.col("area")).withColumn("perc_area_res", F.col("area_res") / F.col("area"))
+    series = out.withColumn("err_dh", F.when(F.col("dh").isNotNull(), err)).withColumn("perc_area_meas", F.col("area_meas") / F.col("area")).withColumn("perc_area_res", F.col("area_res") / F.col("area"))
     return series.drop(*[f"sd_{k}" for k in range(len(RANGES) + 1)], "num_err", "geo_total", "area_res"), bins.select(*keys, "bin", "bin_mid", t, "mean", "all_err", "lin_err", "area", "area_meas")

@@ -108,6 +108,12 @@ def robust_line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, flo
         keep = good
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by ``keys`` over all shuffle partitions: groups that cost Python time are many though their bytes are few, so none are merged."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def _robust(df: DataFrame, keys: list[str], x: str, y: str, w: str | None) -> DataFrame:
     """Groups are fitted one at a time in numpy: the number of removals depends on the data."""
     cols = [*keys, x, y, *([w] if w else [])]
@@ -120,7 +126,7 @@ def _robust(df: DataFrame, keys: list[str], x: str, y: str, w: str | None) -> Da
         return pd.DataFrame([row])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", slope double, intercept double, n long, dropped long"
-    return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
+    return dealt(df.select(*cols), keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def robust_wls(df: DataFrame, keys: list[str], x: str = "t", y: str = "z", err: str = "err") -> DataFrame:

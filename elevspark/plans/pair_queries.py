@@ -49,12 +49,12 @@ def vgm_by_bin(spark, d):
     return rounded(variograms.temporal_variogram_median(o, ["pixel"], 2.0, 16.0, by=["bin"]), 2)
 
 
-@query("spatial_variogram", f"""WITH {POINTS}, s AS (SELECT year(t) * 100 + month(t) AS grp, id, lat * 100 AS y, lon * 100 AS x, h / 1000 AS z FROM points WHERE id % 4 = 0),
+@query("spatial_variogram", f"""WITH {POINTS}, s AS (SELECT year(t) * 100 + month(t) AS grp, id, lat * 100 AS y, lon * 100 AS x, h / 1000 AS z FROM points),
 k AS (SELECT grp FROM s GROUP BY grp HAVING count(*) > 10), p AS (
   SELECT a.grp, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist, (a.z - b.z) * (a.z - b.z) AS sq FROM s a JOIN s b ON a.grp = b.grp AND a.id < b.id WHERE a.grp IN (SELECT grp FROM k)
 ) SELECT CAST(grp AS BIGINT) AS grp, {r('ceil(dist / 250) * 250')} AS lag, {r('avg(sq) / 2', 3)} AS gamma, count(*) AS n FROM p WHERE dist <= 2500 AND dist > 0 GROUP BY grp, ceil(dist / 250)""")
 def spatial_variogram(spark, d):
-    p = points(spark, d).where("id % 4 = 0").select((F.year("t") * 100 + F.month("t")).alias("grp"), "id", (F.col("lat") * 100).alias("y"), (F.col("lon") * 100).alias("x"), (F.col("h") / 1000).alias("z"))
+    p = points(spark, d).select((F.year("t") * 100 + F.month("t")).alias("grp"), "id", (F.col("lat") * 100).alias("y"), (F.col("lon") * 100).alias("x"), (F.col("h") / 1000).alias("z"))
     return rounded(variograms.spatial_variogram(p, ["grp"], 2500.0, 10), 3)
 
 
@@ -167,7 +167,7 @@ def nearest_date(spark, d):
 GRID = "grid AS (SELECT CAST(g * 2.7 + 0.13 AS DOUBLE) AS t FROM range(0, 11) x(g))"
 
 
-@query("closest_valid_obs", f"""WITH {OBS}, {GRID}, kept AS (SELECT * FROM obs WHERE obs_id % 7 = 0), dates AS (SELECT DISTINCT CAST(day AS DOUBLE) + 0.5 AS t FROM obs),
+@query("closest_valid_obs", f"""WITH {OBS}, {GRID}, kept AS (SELECT * FROM obs), dates AS (SELECT DISTINCT CAST(day AS DOUBLE) + 0.5 AS t FROM obs),
 s AS (SELECT g.t AS gt, arg_min(dt.t, struct_pack(d := round(abs(dt.t - g.t), 9), t := dt.t)) AS st FROM grid g, dates dt GROUP BY g.t), k AS (SELECT pixel FROM kept GROUP BY pixel HAVING count(*) >= 2),
 n AS (SELECT pixel, gt, st, arg_min(o.t, struct_pack(d := abs(o.t - st), t := o.t)) AS nt FROM s, kept o WHERE pixel IN (SELECT pixel FROM k) GROUP BY pixel, gt, st)
 SELECT pixel, {r('gt')} AS t, {r('st')} AS stack_t, {r('abs(nt - gt)')} AS lag FROM n""")
@@ -175,12 +175,12 @@ def closest_valid_obs(spark, d):
     o = obs(spark, d)
     grid = spark.range(11).select((F.col("id") * 2.7 + 0.13).cast("double").alias("t"))
     dates = o.select((F.col("day") + 0.5).cast("double").alias("t")).distinct()
-    return rounded(timejoin.lag_to_closest(o.where("obs_id % 7 = 0").select("pixel", "t"), dates, grid, ["pixel"]))
+    return rounded(timejoin.lag_to_closest(o.select("pixel", "t"), dates, grid, ["pixel"]))
 
 
-@query("obs_per_interval", f"WITH {OBS}, kept AS (SELECT * FROM obs WHERE obs_id % 7 = 0) SELECT pixel, CAST(floor(t / 5) AS BIGINT) AS step, count(*) AS n, CAST(max(CASE WHEN err > 4 THEN 1 ELSE 0 END) AS BIGINT) AS any_poor FROM kept GROUP BY 1, 2")
+@query("obs_per_interval", f"WITH {OBS} SELECT pixel, CAST(floor(t / 5) AS BIGINT) AS step, count(*) AS n, CAST(max(CASE WHEN err > 4 THEN 1 ELSE 0 END) AS BIGINT) AS any_poor FROM obs GROUP BY 1, 2")
 def obs_per_interval(spark, d):
-    k = obs(spark, d).where("obs_id % 7 = 0").groupBy("pixel", F.floor(F.col("t") / 5).alias("step"))
+    k = obs(spark, d).groupBy("pixel", F.floor(F.col("t") / 5).alias("step"))
     return rounded(k.agg(F.count("*").alias("n"), F.max((F.col("err") > 4).cast("int")).alias("any_poor")))
 
 
@@ -274,12 +274,12 @@ def hypso_covar(spark, d):
     return rounded(hypso.hypso_covariance(m, ["feature"]))
 
 
-@query("lowess", f"""WITH {SERIES}, {BINNED}, {CLEAN}, {MEANS}, v AS (SELECT feature, year, bin_mid AS x, mean AS y, ss_err AS e FROM means WHERE feature < 20),
+@query("lowess", f"""WITH {SERIES}, {BINNED}, {CLEAN}, {MEANS}, v AS (SELECT feature, year, bin_mid AS x, mean AS y, ss_err AS e FROM means),
 p AS (SELECT a.feature, a.year, a.x, b.x - a.x AS dx, b.y AS y, exp(-sqrt(abs(b.x - a.x) / 200)) / (b.e * b.e) AS w FROM v a JOIN v b USING (feature, year)),
 s AS (SELECT feature, year, x, sum(w) AS s, sum(w * dx) AS sx, sum(w * y) AS sy, sum(w * dx * dx) AS sxx, sum(w * dx * y) AS sxy FROM p GROUP BY ALL)
 SELECT feature, CAST(year AS BIGINT) AS year, {r('x')} AS x, {r('CASE WHEN s * sxx - sx * sx <> 0 THEN (sxx * sy - sx * sxy) / (s * sxx - sx * sx) END', 4)} AS smooth FROM s""")
 def lowess(spark, d):
-    m = hypso.bin_means(_clean(spark, d), ["feature", "bin_mid", "year"]).where("feature < 20")
+    m = hypso.bin_means(_clean(spark, d), ["feature", "bin_mid", "year"])
     v = m.select("feature", "year", F.col("bin_mid").alias("x"), F.col("mean").alias("y"), F.col("ss_err").alias("err"))
     return rounded(hypso.local_regression(v, ["feature", "year"], 800.0), 4)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.adapters import cube, features, obs, pixels, series
@@ -62,7 +65,7 @@ def regional_rates(spark, d):
 
 @query("refined_variogram")
 def refined_variogram(spark, d):
-    """Temporal variograms of prefiltered observations by bins of slope."""
+    """Temporal variograms of prefiltered observations by bins of slope, of height and of change."""
     o, _, ref = _stack(spark, d)
     out = pipelines.refined_variograms(o.withColumn("err", F.lit(2.0)), ref, 1.0, 8.0, [0.0, 5.0, 10.0], [0.0, 250.0, 1000.0], [-100.0, 0.0, 100.0])
-    return rounded(out["slope"], 2)
+    return rounded(functools.reduce(DataFrame.unionByName, (v.withColumn("by", F.lit(name)) for name, v in out.items())), 2)

@@ -8,43 +8,69 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.dates import YEAR_RATE
 from ..operators import aggregate, error_model, filters, gp, hypso, regression, validate, variograms
-from ..operators.timejoin import change_from_first, snap_to_campaign
+from ..operators.timejoin import change_from_first, lag_to_closest, snap_to_campaign
 from ..sources.staging import cut
 
 
-def fit_stack(obs: DataFrame, dem: DataFrame, ref: DataFrame, method: str = "gpr", prefilter: str | None = "both", ref_days: str = "days", res: float = 100.0, step: float = 0.25, span: tuple[float, float] | None = None, wls_filter: bool = False, max_uncert: float = 20.0, conf: float = 0.68, conf_filter: float | None = None) -> DataFrame:
+def fit_stack(obs: DataFrame, dem: DataFrame, ref: DataFrame, method: str = "gpr", prefilter: str | None = "both", ref_days: str = "days", res: float = 100.0, step: float = 0.25, span: tuple[float, float] | None = None, wls_filter: bool = False, max_uncert: float = 20.0, conf: float = 0.68, conf_filter: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Fit every pixel of a stack.
 
     obs: px, py, t (years), days (from the reference date), z, dem, corr. dem: dem, uncert. ref: px, py, ref_z, slope, unstable.
-    ``method``: gpr gives px, py, t, z, z_ci; ols and wls give a line per pixel.
+    ``keys``: columns of obs and ref that tell stacks apart (the tile). ``method``: gpr gives keys, px, py, t, z, z_ci, n_kept; ols and wls
+    give a line per pixel. For the observations that a Gaussian process keeps see :func:`fit_stack_kept`.
     """
-    place = ["px", "py"]
+    out = _prepared(obs, dem, ref, prefilter, ref_days, res, wls_filter, max_uncert, keys)
+    place = [*keys, "px", "py"]
+    if method == "gpr":
+        return gp.fit_gp(out.join(ref.select(*place, "unstable"), place), place, _grid(out, span, step), unstable="unstable")
+    out = out.withColumn("w", 1 / (F.col("err") * F.col("err")) if method == "wls" else F.lit(1.0))
+    return regression.ls(out, place, "t", "z", "w", conf, conf_filter)
+
+
+def fit_stack_kept(obs: DataFrame, dem: DataFrame, ref: DataFrame, prefilter: str | None = "both", ref_days: str = "days", res: float = 100.0, step: float = 0.25, span: tuple[float, float] | None = None, wls_filter: bool = False, max_uncert: float = 20.0, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(series, kept) of Gaussian-process fits, from one pass: kept is keys, px, py, t, kept for every observation."""
+    out = _prepared(obs, dem, ref, prefilter, ref_days, res, wls_filter, max_uncert, keys)
+    place = [*keys, "px", "py"]
+    return gp.fit_gp_kept(out.join(ref.select(*place, "unstable"), place), place, _grid(out, span, step), unstable="unstable")
+
+
+def _grid(out: DataFrame, span: tuple[float, float] | None, step: float) -> list[float]:
+    if span is None:
+        ends = out.agg(F.floor(F.min("t")).alias("a"), F.max("t").alias("b")).first()
+        span = (float(ends["a"] or 0), float(ends["b"] or 0) + 1.1)
+    return [span[0] + step * i for i in range(int((span[1] - span[0]) / step) + 1)]
+
+
+def _prepared(obs: DataFrame, dem: DataFrame, ref: DataFrame, prefilter: str | None, ref_days: str, res: float, wls_filter: bool, max_uncert: float, keys: tuple[str, ...]) -> DataFrame:
+    """place, t, z, err: the filtered observations with their errors, one a date."""
+    place = [*keys, "px", "py"]
     out = filters.rmse_filter(obs, dem, max_uncert).join(dem.select("dem", "uncert"), "dem")
     if prefilter:
-        out = filters.prefilter(out, ref, prefilter, ref_days, res)
+        out = filters.prefilter(out, ref, prefilter, ref_days, res, keys=keys)
     out = cut(error_model.with_error(out, ref.select(*place, "slope"), place))
     if wls_filter:
-        out = filters.wls_reference_filter(out, ref, ref_days)
-    out = out.groupBy(*place, "t").agg(F.avg("z").alias("z"), F.avg("err").alias("err"))
-    if method == "gpr":
-        if span is None:
-            ends = out.agg(F.floor(F.min("t")).alias("a"), F.max("t").alias("b")).first()
-            span = (float(ends["a"] or 0), float(ends["b"] or 0) + 1.1)
-        grid = [span[0] + step * i for i in range(int((span[1] - span[0]) / step) + 1)]
-        return gp.fit_gp(out.join(ref.select(*place, "unstable"), place), place, grid, unstable="unstable")
-    out = out.withColumn("w", 1 / (F.col("err") * F.col("err")) if method == "wls" else F.lit(1.0))
-    return regression.ls(out, place, "t", "z", "w", conf, conf_filter)
+        out = filters.wls_reference_filter(out, ref, ref_days, keys=keys)
+    return out.groupBy(*place, "t").agg(F.avg("z").alias("z"), F.avg("err").alias("err"))
+
+def volumes_of_stack(obs: DataFrame, dem: DataFrame, ref: DataFrame, features: DataFrame, pixel_area: float, keys: tuple[str, ...] = (), **fit) -> tuple[DataFrame, DataFrame]:
+    """(series, bins) of features (rgiid, keys, px, py) from the observations of a stack: fit, days since kept observations, integration."""
+    place = [*keys, "px", "py"]
+    series, kept = fit_stack_kept(obs, dem, ref, keys=keys, **fit)
+    name = F.concat_ws(":", *place).alias("pixel")
+    cube, kept = (x.select(name, *[c for c in x.columns if c not in place]) for x in (series, kept))
+    dates = kept.select("t").distinct()
+    lags = lag_to_closest(kept.where("kept").select("pixel", "t"), dates, cube.select("t").distinct(), ["pixel"])
+    lags = lags.select("pixel", "t", (F.col("lag") * YEAR_RATE).alias("days"))
+    return volumes(cube.select("pixel", "t", "z", "z_ci"), lags, ref.select(name, F.col("ref_z").alias("ref")), features.select("rgiid", name), pixel_area)
 
 
 def volumes(cube: DataFrame, lags: DataFrame, ref: DataFrame, features: DataFrame, pixel_area: float) -> tuple[DataFrame, DataFrame]:
     """(series, bins) of features from a fitted cube (pixel, t, z, z_ci), lags (pixel, t, days), ref (pixel, ref) and features (rgiid, pixel).
 
-    Tiles need no merging: a feature's pixels are grouped wherever they lie.
+    Tiles need no merging: a feature's pixels are grouped wherever they lie. A pixel without a fit or a lag is void.
     """
-
-
     dh = change_from_first(cube, ["pixel"]).withColumnRenamed("err_dh", "err")
-    obs = dh.join(lags, ["pixel", "t"]).join(ref, "pixel").join(features, "pixel").select("rgiid", "pixel", "t", "dh", "err", "ref", "days")
+    obs = dh.join(lags, ["pixel", "t"], "left").join(ref, "pixel").join(features, "pixel").select("rgiid", "pixel", "t", "dh", "err", "ref", "days")
     return hypso.integrate(obs, ["rgiid"], pixel_area)
 
 
@@ -67,13 +93,13 @@ def altimetry_comparison(points: DataFrame, campaigns: DataFrame, cube: DataFram
     return out.withColumn("years", F.col("t") / YEAR_RATE)
 
 
-def refined_variograms(obs: DataFrame, ref: DataFrame, step: float, cutoff: float, slopes: list[float], heights: list[float], changes: list[float], days: str = "days") -> dict[str, DataFrame]:
+def refined_variograms(obs: DataFrame, ref: DataFrame, step: float, cutoff: float, slopes: list[float], heights: list[float], changes: list[float], days: str = "days", keys: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Temporal variograms of prefiltered observations by bins of slope, of height and of the trend's change.
 
     obs: obs_id, px, py, t (years), days, z, err. ref: px, py, ref_z, slope.
     """
-    place = ["px", "py"]
-    kept = filters.prefilter(obs, ref, "both", days)
+    place = [*keys, "px", "py"]
+    kept = filters.prefilter(obs, ref, "both", days, keys=keys)
     trend = regression.ls(kept.withColumn("w", 1 / (F.col("err") * F.col("err"))), place, "t", "z", "w").select(*place, F.col("slope").alias("change"))
     data = kept.join(ref.select(*place, "ref_z", "slope"), place).join(trend, place)
     out = {}

@@ -89,14 +89,14 @@ def regional_sum(spark, d):
     return rounded(g.select("reg", "time", "dvol", "area", "perc_err_cont", "valid_obs", "perc_area_meas", "perc_area_res", "area_nodata", "dh", "err_dvol", "dm", "err_dm"))
 
 
-@query("annual_dates", f"WITH {OBS}, g AS (SELECT pixel, t * 0.5 + 2000 AS t FROM obs WHERE obs_id % 5 = 0), y AS (SELECT DISTINCT pixel, CAST(2000 + u AS DOUBLE) AS y FROM g, range(0, 21) x(u)) SELECT pixel, CAST(y AS BIGINT) AS year, {r('arg_min(t, struct_pack(d := abs(t - y), t := t))')} AS time FROM y JOIN g USING (pixel) GROUP BY pixel, y")
+@query("annual_dates", f"WITH {OBS}, g AS (SELECT pixel, t * 0.5 + 2000 AS t FROM obs), y AS (SELECT DISTINCT pixel, CAST(2000 + u AS DOUBLE) AS y FROM g, range(0, 21) x(u)) SELECT pixel, CAST(y AS BIGINT) AS year, {r('arg_min(t, struct_pack(d := abs(t - y), t := t))')} AS time FROM y JOIN g USING (pixel) GROUP BY pixel, y")
 def annual_dates(spark, d):
-    g = obs(spark, d).where("obs_id % 5 = 0").select("pixel", (F.col("t") * 0.5 + 2000).alias("time"))
+    g = obs(spark, d).select("pixel", (F.col("t") * 0.5 + 2000).alias("time"))
     return rounded(aggregate.annual_dates(g, ["pixel"]))
 
 
-PERIODS = [(1995 + k * i, 1995 + k * (i + 1)) for k in (1, 2, 3, 6) for i in range(6 // k)]
-RATES = f"""p("start", "end") AS (VALUES {', '.join(f'({a}, {b})' for a, b in PERIODS)}), st AS (SELECT reg, p."start" AS y0, p."end" AS y1, (SELECT arg_min(time, struct_pack(d := abs(time - p."start"), t := time)) FROM rg q WHERE q.reg = g.reg) AS t0,
+PERIODS = [(1995.0 + k * i, 1995.0 + k * (i + 1)) for k in (1, 2, 3, 6) for i in range(6 // k)] + [(1995.75, 1998.25), (1996.5, 2000.25)]
+RATES = f"""p("start", "end") AS (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in PERIODS)}), st AS (SELECT reg, p."start" AS y0, p."end" AS y1, (SELECT arg_min(time, struct_pack(d := abs(time - p."start"), t := time)) FROM rg q WHERE q.reg = g.reg) AS t0,
   (SELECT arg_min(time, struct_pack(d := abs(time - p."end"), t := time)) FROM rg q WHERE q.reg = g.reg) AS t1 FROM (SELECT DISTINCT reg FROM rg) g, p),
 fx AS (SELECT reg, arg_min(area, time) AS area, arg_min(perc_err_cont, time) AS pc, arg_min(perc_area_meas, time) AS pm, arg_min(perc_area_res, time) AS pr, arg_min(area_nodata, time) AS nd FROM rg GROUP BY reg),
 rt AS (SELECT st.reg, y0, y1, b.dvol - a.dvol AS dv, fx.area, sqrt(pow(sqrt(b.err_dh * b.err_dh + a.err_dh * a.err_dh) * fx.area, 2) + pow((b.dvol - a.dvol) * pc / 100, 2)) AS ev, pm, pr, nd, y1 - y0 AS yr,
@@ -107,10 +107,10 @@ pq AS (SELECT *, dmdt * 1e9 / area AS dmdtda, sqrt(pow(err_dmdt * 1e9 / area, 2)
 
 
 def rates(spark, d):
-    return aggregate.period_rates(regions(spark, d), spark.createDataFrame(PERIODS, "start int, end int"), ["reg"])
+    return aggregate.period_rates(regions(spark, d), spark.createDataFrame(PERIODS, "start double, end double"), ["reg"])
 
 
-@query("periods", f"""WITH {FULL}, {REGION}, {RATES} SELECT CAST(reg AS BIGINT) AS reg, CAST(y0 AS BIGINT) AS "start", CAST(y1 AS BIGINT) AS "end", {r('dhdt')} AS dhdt, {r('err_dhdt')} AS err_dhdt, {r('dmdt')} AS dmdt, {r('err_dmdt')} AS err_dmdt,
+@query("periods", f"""WITH {FULL}, {REGION}, {RATES} SELECT CAST(reg AS BIGINT) AS reg, y0 AS "start", y1 AS "end", {r('dhdt')} AS dhdt, {r('err_dhdt')} AS err_dhdt, {r('dmdt')} AS dmdt, {r('err_dmdt')} AS err_dmdt,
   {r('dmdtda')} AS dmdtda, {r('err_dmdtda')} AS err_dmdtda, {r('dvoldt / 1e6')} AS dvoldt, {r('err_dvoldt / 1e6')} AS err_dvoldt, {r('vo')} AS valid_obs, {r('vp')} AS valid_obs_py FROM pq""")
 def periods(spark, d):
     g = rates(spark, d).withColumn("dvoldt", F.col("dvoldt") / 1e6).withColumn("err_dvoldt", F.col("err_dvoldt") / 1e6)
@@ -119,7 +119,7 @@ def periods(spark, d):
 
 @query("global_sum", f"""WITH {FULL}, {REGION}, {RATES}, g AS (SELECT y0, y1, sum(area) AS area, sum(nd) AS nd, sum(dmdt) AS dmdt, sqrt(sum(err_dmdt * err_dmdt)) AS em, sum(dvoldt) AS dv, sqrt(sum(err_dvoldt * err_dvoldt)) AS ev, 0.01 * sqrt(sum(area * area)) AS ea,
   sum(pr * area) / sum(pr) AS par, sum(pm * area) / sum(pm) AS pam, sum(pm * area) / sum(area) AS sm FROM pq GROUP BY y0, y1)
-SELECT CAST(y0 AS BIGINT) AS "start", CAST(y1 AS BIGINT) AS "end", {r('dmdt')} AS dmdt, {r('em')} AS err_dmdt, {r('dv / area')} AS dhdt, {r('sqrt(pow(ev / area, 2) + pow(ea * dv / (area * area), 2))')} AS err_dhdt, {r('dmdt * 1e9 / area')} AS dmdtda,
+SELECT y0 AS "start", y1 AS "end", {r('dmdt')} AS dmdt, {r('em')} AS err_dmdt, {r('dv / area')} AS dhdt, {r('sqrt(pow(ev / area, 2) + pow(ea * dv / (area * area), 2))')} AS err_dhdt, {r('dmdt * 1e9 / area')} AS dmdtda,
   {r('sqrt(pow(em * 1e9 / area, 2) + pow(ea * dmdt * 1e9 / (area * area), 2))')} AS err_dmdtda, {r('par / 1e6')} AS perc_area_res, {r('pam / 1e6')} AS perc_area_meas, {r('sm')} AS area_share_perc_area_meas, {r('nd / 1e6')} AS area_nodata FROM g""")
 def global_sum(spark, d):
     g = aggregate.global_sum(rates(spark, d), ["start", "end"])
@@ -204,12 +204,12 @@ def tile_extent_snap(spark, d):
     return rounded(p.select("id", s.alias("s")).select("id", "s.*"), 3)
 
 
-@query("tile_rings", f"""WITH {POINTS}, c AS (SELECT id, floor(lat) + a AS lat, floor(lon) + b AS lon, lat AS la, lon AS lo FROM points, (VALUES (0, 0), (0, 1), (1, 1), (1, 0)) q(a, b) WHERE abs(lat) < 80),
+@query("tile_rings", f"""WITH {POINTS}, c AS (SELECT id, floor(lat) + a AS lat, floor(lon) + b AS lon, lat AS la, lon AS lo FROM points, (VALUES (0, 0), (0, 1), (1, 1), (1, 0)) q(a, b) WHERE lat BETWEEN -84 AND 83),
 {_forward_sql().replace("FROM points WHERE abs(lat) < 84", "FROM c").replace(ZONE, ZONE.replace("lon", "lo")).replace("lat >= 0", "la >= 0").replace("SELECT id, lat, lon,", "SELECT id, la, lo, lat, lon,")}
 SELECT id, {r('min(x)', 2)} AS xmin, {r('min(y)', 2)} AS ymin, {r('max(x)', 2)} AS xmax, {r('max(y)', 2)} AS ymax FROM utm GROUP BY id""")
 def tile_rings(spark, d):
     lat, lon = F.col("lat"), F.col("lon")
-    p = points(spark, d).where(F.abs("lat") < 80)
+    p = points(spark, d).where(F.col("lat").between(-84, 83))  # a tile above 84 degrees is in no zone
     ring = geo.tile_ring(F.floor(lat), F.floor(lon), geo.utm_epsg(lat, lon))
     return rounded(p.select("id", geo.ring_extent(ring).alias("b")).select("id", "b.*"), 2)
 
@@ -326,12 +326,11 @@ def tile_sets(spark, d):
     return s.select(F.concat_ws(",", "tiles").alias("tiles"), F.size("rgiids").cast("long").alias("n"), F.get("rgiids", F.lit(0)).alias("first"))
 
 
-@query("merge_stacks", f"WITH {OBS}, u AS (SELECT pixel, day, z FROM obs WHERE obs_id % 3 = 0 UNION ALL SELECT pixel, day, z FROM obs WHERE obs_id % 3 = 0 UNION ALL SELECT pixel, day, NULL FROM obs WHERE obs_id % 3 = 1) SELECT pixel, CAST(day AS BIGINT) AS day, count(DISTINCT z) > 1 AS conflict, {r('CASE WHEN count(DISTINCT z) <= 1 THEN max(z) END')} AS z FROM u GROUP BY pixel, day")
+@query("merge_stacks", f"WITH {OBS}, u AS (SELECT pixel, day, CASE WHEN obs_id % 3 <> 1 THEN z END AS z FROM obs UNION ALL SELECT pixel, day, CASE WHEN obs_id % 3 <> 2 THEN z END FROM obs) SELECT pixel, CAST(day AS BIGINT) AS day, count(DISTINCT z) > 1 AS conflict, {r('min(z)')} AS z FROM u GROUP BY pixel, day")
 def merge_stacks(spark, d):
-    o = obs(spark, d)
-    a = o.where("obs_id % 3 = 0").select("pixel", "day", "z")
-    m = geometry.merge_stacks(a.unionAll(a).unionAll(o.where("obs_id % 3 = 1").select("pixel", "day", F.lit(None).cast("double").alias("z"))), ["pixel", "day"])
-    return rounded(m.select("pixel", "day", "conflict", F.when(~F.col("conflict"), F.col("z")).alias("z")))
+    """Two stacks of all observations, each with gaps of its own."""
+    one, two = (obs(spark, d).select("pixel", "day", F.when(F.col("obs_id") % 3 != gap, F.col("z")).alias("z")) for gap in (1, 2))
+    return rounded(geometry.merge_stacks(one.unionAll(two), ["pixel", "day"]).select("pixel", "day", "conflict", "z"))
 
 
 @query("majority_epsg", f"WITH {POINTS}, e AS (SELECT CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + {ZONE} AS epsg FROM points) SELECT epsg FROM e GROUP BY epsg ORDER BY count(*) DESC, epsg LIMIT 1")
@@ -339,18 +338,14 @@ def majority_epsg(spark, d):
     return rounded(geometry.majority_epsg(points(spark, d).select(geo.utm_epsg(F.col("lat"), F.col("lon")).alias("epsg"))))
 
 
-TARGETS = "targets AS (SELECT event_id AS tid, CAST(event_id % 140 AS DOUBLE) + 3 AS x, CAST(event_id // 140 % 70 AS DOUBLE) + 2.5 AS y FROM events WHERE event_id < 9800)"
+TARGETS = "targets AS (SELECT event_id AS tid, CAST(event_id % 140 AS DOUBLE) + 3 AS x, CAST(event_id // 140 % 70 AS DOUBLE) + 2.5 AS y FROM events)"
 
 
-def all_targets(spark, d):
+def targets(spark, d):
     k = F.col("event_id")
     return spark.read.parquet(f"{d}/events.parquet").select(k.alias("tid"), ((k % 140) + 3).cast("double").alias("x"), (F.floor(k / 140) % 70 + 2.5).cast("double").alias("y"))
 
 
-def targets(spark, d):
-    return all_targets(spark, d).where("tid < 9800")
-
-
 @query("resample_bilinear", f"""WITH {OBS}, {PIXELS}, {TARGETS}, f AS (SELECT *, x / 10 - floor(x / 10) AS fx, y / 10 - floor(y / 10) AS fy FROM targets),
 w AS (SELECT tid, floor(x / 10) + i AS px, floor(y / 10) + j AS py, CASE WHEN i = 1 THEN fx ELSE 1 - fx END * CASE WHEN j = 1 THEN fy ELSE 1 - fy END AS w FROM f, range(0, 2) a(i), range(0, 2) b(j)),
 g AS (SELECT tid, CASE WHEN count(ref_z) = count(*) THEN sum(ref_z * w) END AS z FROM w LEFT JOIN pixels USING (px, py) WHERE w > 0 GROUP BY tid) SELECT tid, {r('z')} AS ref_z FROM g""")
@@ -367,7 +362,7 @@ def resample_nearest(spark, d):
 def reproject(spark, d):
     """A raster of zone 33 north moved onto a grid of zone 32."""
     cell = pixels(spark, d).select((F.col("px") + 5000).alias("px"), (F.col("py") + 60000).alias("py"), "ref_z")
-    grid = all_targets(spark, d).select("tid", "x", "y").withColumn("ll", geo.utm_inverse(500000 + F.col("x") * 100, 6000000 + F.col("y") * 100, F.lit(32633))).withColumn("u", geo.utm_forward(F.col("ll.lat"), F.col("ll.lon"), F.lit(32632)))
+    grid = targets(spark, d).select("tid", "x", "y").withColumn("ll", geo.utm_inverse(500000 + F.col("x") * 100, 6000000 + F.col("y") * 100, F.lit(32633))).withColumn("u", geo.utm_forward(F.col("ll.lat"), F.col("ll.lon"), F.lit(32632)))
     moved = geometry.reproject(cell, 32633, 32632, grid.select("tid", F.col("u.x").alias("x"), F.col("u.y").alias("y")), 100.0, value="ref_z")
     return rounded(moved, 3)
 

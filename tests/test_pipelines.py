@@ -123,3 +123,57 @@ def test_volume_series_has_every_step_of_the_cube(spark):
     d = "/root/testdata/sf0.001"
     steps = {r.t for r in QUERIES["volume_series"](spark, d).select("t").distinct().collect()}
     assert steps == {float(r.t) for r in cube(spark, d).select("t").distinct().collect()} and len(steps) > 8
+
+
+def tiled(spark):
+    """The stack twice: as it is on one tile, and rising on another at the same places."""
+    o, dem, ref = stack(spark)
+    up = o.withColumn("z", 1000 - F.col("z") + F.when(F.col("z") > 1500, 5000).otherwise(0))
+    both = o.withColumn("tile", F.lit("N45E015")).unionByName(up.withColumn("tile", F.lit("N45E016")))
+    refs = ref.withColumn("tile", F.lit("N45E015")).unionByName(ref.withColumn("ref_z", 1000 - F.col("ref_z")).withColumn("tile", F.lit("N45E016")))
+    return both, dem, refs
+
+
+def test_tiles_are_fitted_apart(spark):
+    o, dem, ref = tiled(spark)
+    out = pipelines.fit_stack(o, dem, ref, method="wls", wls_filter=True, keys=("tile",)).collect()
+    assert len(out) == 32
+    for r in out:
+        assert r.slope == pytest.approx(-1.5 if r.tile == "N45E015" else 1.5, abs=0.3)
+
+
+def test_from_observations_to_volumes(spark):
+    o, dem, ref = tiled(spark)
+    series, kept = pipelines.fit_stack_kept(o, dem, ref, step=1.0, span=(0.0, 16.0), keys=("tile",))
+    assert series.count() == 32 * 17
+    mask = kept.groupBy("tile", "px", "py").agg(F.sum(F.col("kept").cast("int")).alias("n"), F.count("*").alias("all"))
+    again = series.select("tile", "px", "py", "n_kept").distinct().join(mask, ["tile", "px", "py"]).collect()
+    assert len(again) == 32 and all(r.n == r.n_kept <= r.all for r in again)
+    feats = ref.select(F.when(F.col("tile") == "N45E015", "f1").otherwise("f2").alias("rgiid"), "tile", "px", "py")
+    got, bins = pipelines.volumes_of_stack(o, dem, ref, feats, 900.0, keys=("tile",), step=1.0, span=(0.0, 16.0))
+    last = {r.rgiid: r for r in got.where("t = 14").collect()}
+    assert last["f1"].dh == pytest.approx(-21, abs=6) and last["f2"].dh == pytest.approx(21, abs=6) and last["f1"].err_dh > 0 and bins.count() > 0
+
+
+def test_a_void_feature_has_null_rows_and_leaves_the_rest(spark):
+    from elevspark.operators import hypso
+
+    rows = [(f, p, float(t), None if f == "void" else -1.0 * t + p / 100, 1.0 + p % 3, 5.0 * p, 30.0) for f in ("a", "void") for p in range(80) for t in range(3)]
+    df = spark.createDataFrame(rows, "rgiid string, pixel int, t double, dh double, err double, ref double, days double")
+    series, _ = hypso.integrate(df, ["rgiid"], 900.0)
+    alone, _ = hypso.integrate(df.where("rgiid = 'a'"), ["rgiid"], 900.0)
+    got = {f: sorted(r for r in map(tuple, series.where(F.col("rgiid") == f).select("t", "dh", "err_dh", "perc_area_meas").collect())) for f in ("a", "void")}
+    assert [(r[0], r[1], r[2]) for r in got["void"]] == [(float(t), None, None) for t in range(3)] and {r[3] for r in got["void"]} == {0.0}
+    want = sorted(map(tuple, alone.select("t", "dh", "err_dh", "perc_area_meas").collect()))
+    assert [pytest.approx(r) for r in want] == got["a"] and got["a"][2][1] == pytest.approx(-2 + 0.395, abs=0.1)
+
+
+def test_rates_between_any_two_dates(spark):
+    from elevspark.operators import aggregate
+
+    rows = [(1, 2000.0 + k / 4, -10.0 * k, 0.1, 100.0, 3.0, 1.0, 1.0, 0.0, 2.0, 1.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "reg int, time double, dvol double, err_dh double, area double, perc_err_cont double, perc_area_meas double, perc_area_res double, area_nodata double, valid_obs double, valid_obs_py double")
+    periods = spark.createDataFrame([(2000.0, 2010.0), (2003.5, 2012.25)], "start double, end double")
+    got = {(r.start, r.end): r for r in aggregate.period_rates(df, periods, ["reg"]).collect()}
+    assert set(got) == {(2000.0, 2010.0), (2003.5, 2012.25)} and all(r.dvoldt == pytest.approx(-40.0) for r in got.values())
+    assert got[2003.5, 2012.25].valid_obs == 2.0 * 35
