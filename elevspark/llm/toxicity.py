@@ -1,20 +1,23 @@
 """Operator 7: toxicity by weak supervision.
 
 Features of a text are its distinct lower-case words and their first ``STEMS`` letters. From at most
-``SAMPLE`` labelled documents of the folds that may be learned from:
+``SAMPLE`` labelled and as many unlabelled documents of the folds that may be learned from:
 
 1. Counts of features by label, summed on the cluster, give a vocabulary of at most ``VOCABULARY``
    features that point to label 1. The fixed lexicons are one feature each.
 2. Voters fire or not on each sampled document: lexicon voters over fixed lists, lexicon voters over
-   words and stems found in the *other* half of the sample, and pattern voters over the raw text.
-3. A generative label model estimates, by expectation maximisation with the known labels as anchors,
-   how often each voter fires on either class, and from the residuals which voters are correlated;
-   a voter's evidence is divided by one plus its positive correlations. It yields posteriors.
+   words and stems found in the *other* half of the labelled rows, by the weight of the words found, and
+   pattern voters over the raw text. Voters that the labels do not confirm are left out.
+3. A generative label model estimates, by expectation maximisation over labelled and unlabelled rows,
+   how often each voter fires on either class, and from the residuals which voters are correlated; a
+   voter's evidence is divided by one plus its positive correlations. Labels count in these estimates
+   only: a row's posterior comes from its votes, labelled or not. (Without any labels the larger class
+   that voters tell apart can be a language.)
 4. A linear classifier is trained on those posteriors; its probability is the score.
 
 Null and empty texts have no features and get the score of the intercept. Without labels, or with
-only one class, every score is the share of label 1 (0 without labels). Repeated rows each give a
-row; other columns are ignored.
+only one class, every score is the share of label 1 (0 without labels); so it is where no voter fires.
+Repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from .common import bounded_sample, fold, label_rows, lean, sliced, staged, tabl
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 SAMPLE, VOCABULARY, MIN_DOCS, SEED = 12000, 6000, 4, 23
 STEMS = (4, 5, 6)
-#: log odds from which a feature of the other half is in a voter's lexicon, and the number of such voters per kind.
-STRONG, SHARDS = 2.0, 3
+#: log odds from which a feature of the other half is in a voter's lexicon; such voters fire where the log odds of the words found add up to these.
+STRONG, WEIGHTS = 2.0, (3.0, 6.0, 12.0)
+#: How much oftener a voter must fire on label 1 than on label 0 to be heard.
+CONFIRMED = 6
 #: log odds from which a feature is in the vocabulary: common words, of which long texts have many, are not.
 POINTS = 1.5
 
@@ -95,38 +100,37 @@ def _votes(sent):
     return run
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict]:
-    """Posterior of label 1 for each row of 0/1 ``votes``; ``known``: the label, or -1.
+def label_model(votes: np.ndarray, known: np.ndarray | None = None, rounds: int = 100) -> tuple[np.ndarray, dict]:
+    """Posterior of label 1 for each row of 0/1 ``votes``, and the estimates it rests on.
 
-    The two rates of each voter are estimated with the posterior, in turn; anchors weigh in with
-    their label. Evidence of voters that err together is shared out by their residual correlation.
+    The two rates of each voter are estimated with the posterior, in turn; where ``known`` has a label (else -1) the estimate
+    counts that. The posterior itself comes from the votes alone, of every row. Evidence of voters that err together is
+    shared out by their residual correlation.
     """
     n, m = votes.shape
-    anchored = known >= 0
-    p = np.where(anchored, known, np.clip(votes.mean(1) * 2, 0.02, 0.98)).astype(float)
-    share = np.ones(m)
-    rates = prior = None
+    p = np.clip(votes.mean(1) * 2, 0.02, 0.98)
     for _ in range(rounds):
-        prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-        rates = [((q[:, None] * votes).sum(0) + 0.5 * votes.mean(0) + 0.01) / (q.sum() + 0.52) for q in (1 - p, p)]
-        rates = [np.clip(r, 1e-5, 1 - 1e-5) for r in rates]
-        left = votes - ((1 - p)[:, None] * rates[0] + p[:, None] * rates[1])
+        q = p if known is None else np.where(known >= 0, known, p)
+        prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
+        rates = [np.clip(((w[:, None] * votes).sum(0) + 0.5 * votes.mean(0) + 0.01) / (w.sum() + 0.52), 1e-5, 1 - 1e-5) for w in (1 - q, q)]
+        left = votes - ((1 - q)[:, None] * rates[0] + q[:, None] * rates[1])
         spread = left.std(0) + 1e-9
-        corr = (left / spread).T @ (left / spread) / n
-        share = 1 / (1 + np.clip(corr - np.eye(m), 0, None).sum(1))
-        fired, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        z = np.log(prior / (1 - prior)) + (votes * (fired * share) + (1 - votes) * (silent * share)).sum(1)
-        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        # an anchor is evidence too: its label, with a chance of one in fifty that it is wrong
-        odds = new / (1 - new + 1e-12) * np.where(known == 1, 49.0, 1 / 49.0)
-        new = np.where(anchored, odds / (1 + odds), new)
-        if np.abs(new - p).max() < 1e-4:
-            p = new
-            break
+        share = 1 / (1 + np.clip((left / spread).T @ (left / spread) / n - np.eye(m), 0, None).sum(1))
+        new = posterior(votes, prior, rates, share)
+        done = np.abs(new - p).max() < 1e-5
         p = new
+        if done:
+            break
     return p, {"prior": prior, "rates": rates, "share": share}
 
 
+def posterior(votes: np.ndarray, prior: float, rates: list[np.ndarray], share: np.ndarray) -> np.ndarray:
+    """Bayes' rule over voters that are independent given the class, each with its share of the evidence."""
+    fired, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+    z = np.log(prior / (1 - prior)) + votes @ (fired * share) + (1 - votes) @ (silent * share)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def linear(rows: list[np.ndarray], target: np.ndarray, m: int, rounds: int = 400, l2: float = 2e-5, rate: float = 0.2) -> tuple[np.ndarray, float]:
     """Logistic regression of soft targets on sets of features, by Adam over all rows."""
     n = len(rows)
@@ -144,9 +148,11 @@ def linear(rows: list[np.ndarray], target: np.ndarray, m: int, rounds: int = 400
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """The classifier: {"weights": {feature: weight}, "intercept"}, from labelled rows of ``docs`` (doc_id, text)."""
+    """The classifier: {"weights": {feature: weight}, "intercept"}, from ``docs`` (doc_id, text), some of which have ``labels`` (doc_id, y)."""
     spark = docs.sparkSession
-    chosen = staged(bounded_sample(labels, sample, SEED).withColumnRenamed("doc_id", "chosen"), "chosen")  # at most ``sample`` rows
+    others = docs.select("doc_id").where("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_anti").distinct().withColumn("y", F.lit(-1))
+    chosen = bounded_sample(labels, sample, SEED).unionByName(bounded_sample(others, sample, SEED))
+    chosen = staged(chosen.withColumnRenamed("doc_id", "chosen"), "chosen")  # at most twice ``sample`` rows
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
     rows = staged(rows, "sample")
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
@@ -154,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     if not ones or not zeros:
         share = ones / max(ones + zeros, 1)
         return {"weights": {}, "intercept": float(np.log((share + 1e-9) / (1 - share + 1e-9)))}
-    tally = rows.mapInArrow(lean(_tally), "feature string, y int, half int, n long").groupBy("feature")
+    tally = rows.where("y >= 0").mapInArrow(lean(_tally), "feature string, y int, half int, n long").groupBy("feature")
     seen = lambda y, h: F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n"))), F.lit(0))
     counts = tally.agg(*[seen(y, h).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)])
     a, c = F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01")
@@ -169,18 +175,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     data = rows.mapInArrow(lean(_votes(sent)), "y int, half int, found array<int>, votes array<int>").toPandas()
     found = [np.asarray(x, int) for x in data["found"]]
     kind = np.array([int(f[0]) if f[0].isdigit() else 0 for f in vocabulary], int)
-    shard = np.arange(len(vocabulary)) % SHARDS
-    voters = [np.array(list(data["votes"]))]
+    y, half = data["y"].to_numpy(), data["half"].to_numpy()
+    fixed = np.array(list(data["votes"]), float).reshape(len(data), -1)
+    voters = [fixed]
     for k in (0, *STEMS):
-        for s in range(SHARDS):
-            lexicon = [(half_odds[1 - h] >= STRONG) & (kind == k) & (shard == s) for h in (0, 1)]  # for half h, from the other
-            voters.append(np.array([int(lexicon[h][x].any()) for x, h in zip(found, data["half"], strict=True)])[:, None])
-    votes = np.concatenate(voters, axis=1).astype(float)
-    posterior, model = label_model(votes[:, votes.any(0)], data["y"].to_numpy())
+        weight = [np.where((kind == k) & (half_odds[h] >= STRONG), half_odds[h], 0) for h in (1, 0)]  # for half h, from the other
+        held = np.array([weight[h][x].sum() for x, h in zip(found, half, strict=True)])
+        voters += [(held >= least)[:, None].astype(float) for least in WEIGHTS]
+    votes = np.concatenate(voters, axis=1)
+    votes = votes[:, votes[y == 1].mean(0) > CONFIRMED * votes[y == 0].mean(0)]
+    if not votes.shape[1]:
+        return {"weights": {}, "intercept": float(np.log(ones / zeros))}
+    soft, model = label_model(votes, y)
     themes = np.array(list(data["votes"]))[:, : len(LEXICONS)]
     found = [np.append(x, len(vocabulary) + np.flatnonzero(t)) for x, t in zip(found, themes, strict=True)]
     vocabulary = [*vocabulary, *(f"0{theme}" for theme in LEXICONS)]
-    w, b = linear(found, posterior, len(vocabulary))
+    w, b = linear(found, soft, len(vocabulary))
     keep = np.abs(w) > 1e-3
     return {"weights": {f: float(x) for f, x, k in zip(vocabulary, w, keep, strict=True) if k}, "intercept": b, "label_model": {k: np.asarray(v).tolist() for k, v in model.items()}}
 
@@ -214,6 +224,6 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     may = fold(F.col("doc_id"), FOLDS) != HELD_OUT
-    model = learn(docs, label_rows(table(spark, sf_dir, "labels").where(may), "toxic"))
+    model = learn(docs.where(may), label_rows(table(spark, sf_dir, "labels").where(may), "toxic"))
     out = score_toxicity(docs, model)
     return out.select("doc_id", (~may).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
