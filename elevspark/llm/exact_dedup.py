@@ -1,7 +1,8 @@
 """Operator 2: exact deduplication by deterministic block naming.
 
 A text without its white space is cut into blocks of ``block_chars`` code points. The distinct
-blocks are sorted and numbered: a block's name is its place in that order. Then names of adjacent
+blocks are sorted, by a 64-bit digest and then the block itself, and numbered: a block's name is its place
+in that order, on any number of partitions. Then names of adjacent
 pairs are sorted and numbered in the same way, level by level, until one name is left; the number of
 levels and that name identify the text without collisions. Only texts with more than one block take
 part in the levels, so the work shrinks with each.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, kept_rows, staged, text_of
@@ -41,21 +42,35 @@ def blocks_of(text: Column, block_chars: int) -> Column:
     return F.when(n == 1, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * block_chars + 1, F.lit(block_chars))))
 
 
-def _numbered(keys: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Distinct keys with an integer name: partitions in order, and in each the place in sorted order."""
-    return keys.sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
+def _numbered(keys: DataFrame, by: list[str], name: str, label: str) -> DataFrame:
+    """Distinct keys with an integer name: their place in sorted order, however the rows are partitioned.
+
+    Ranges of keys are sorted by task; the sizes of the ranges before it give a task's first name.
+    """
+    ranges = staged(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), label)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a range
+    first = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranges.withColumn("_part", part).join(F.broadcast(sizes.select("_part", first.alias("_first"))), "_part").withColumn(name, F.col("_first") + place).drop("_part", "_first", "_at")
 
 
 def block_names(texts: DataFrame, digest: Callable[[Column], Column], block_chars: int) -> tuple[DataFrame, DataFrame | None]:
-    """((h, name) of the digests of one block, (h, block, name) of those of more or None) for a table (t)."""
+    """((h, name) of the digests of one block, (h, block, name) of those of more or None) for a table (t).
+
+    Blocks sort by (digest, block). Only digests travel again for it; the blocks of a digest that stands for several are
+    sorted by themselves and follow the name of their digest.
+    """
     blocks = texts.select(F.explode(blocks_of(F.col("t"), block_chars)).alias("block")).withColumn("h", digest(F.col("block")))
-    named = staged(_numbered(blocks.groupBy("h", "block").agg(F.lit(1).alias("one")), ["h", "block"], "name").select("h", "name"), "block-names")
-    twice = staged(named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "block-clashes")
+    distinct = staged(blocks.groupBy("h", "block").agg(F.lit(1).alias("one")).select("h"), "block-digests")
+    named = staged(_numbered(distinct, ["h"], "name", "block-order"), "block-names")
+    twice = staged(named.groupBy("h").agg(F.count("*").alias("n"), F.min("name").alias("base")).where("n > 1").select("h", "base"), "block-clashes")
     if twice.isEmpty():
         return named, None
     clashing = blocks.join(twice, "h", "left_semi").distinct()
-    top = named.agg(F.max("name")).first()[0] + 1
-    return named.join(twice, "h", "left_anti"), staged(_numbered(clashing, ["h", "block"], "name").withColumn("name", F.col("name") + top), "block-clash-names")
+    place = _numbered(clashing, ["h", "block"], "place", "clash-order")
+    start = place.groupBy("h").agg(F.min("place").alias("start"))
+    told = place.join(start, "h").join(twice, "h").select("h", "block", (F.col("base") + F.col("place") - F.col("start")).alias("name"))
+    return named.join(twice, "h", "left_anti"), staged(told, "block-clash-names")
 
 
 def _level(seq: DataFrame, level: int) -> DataFrame:
@@ -63,7 +78,7 @@ def _level(seq: DataFrame, level: int) -> DataFrame:
     half = F.floor(F.col("pos") / 2).alias("pos")
     side = lambda odd: F.max(F.when(F.col("pos") % 2 == odd, F.col("name")))
     pairs = staged(seq.groupBy("rid", half).agg(side(0).alias("a"), F.coalesce(side(1), F.lit(-1)).alias("b")), f"pairs-{level}")
-    names = _numbered(pairs.select("a", "b").distinct(), ["a", "b"], "name")
+    names = _numbered(pairs.select("a", "b").distinct(), ["a", "b"], "name", f"order-{level}")
     return staged(pairs.join(names, ["a", "b"]).select("rid", "pos", "name"), f"level-{level}")
 
 

@@ -4,7 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from elevspark.llm.exact_dedup import exact_dedup, groups, identities
+from elevspark.llm.common import text_of
+from elevspark.llm.exact_dedup import block_names, exact_dedup, groups, identities, squeezed
 
 SCHEMA = "doc_id long, text string, lang string, n string"
 
@@ -45,3 +46,22 @@ def test_kept_rows_carry_their_columns(spark):
     assert kept.columns == df.columns
     assert kept.count() == len({x[3] for x in brute(rows())})
     assert exact_dedup(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("digest", [F.xxhash64, lambda b: F.pmod(F.xxhash64(b), F.lit(3))])
+def test_names_are_places_in_sorted_order_on_any_number_of_partitions(spark, digest):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    found = []
+    for n in ("3", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            names, clashes = block_names(df.select(squeezed(text_of()).alias("t")), digest, 4)
+            by = {(r.h, ""): r.name for r in names.collect()} | ({(r.h, r.block): r.name for r in clashes.collect()} if clashes is not None else {})
+            ids = {(r.doc_id, r.text_sha256, r.level, r.name) for r in identities(df, 4, digest).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert [by[k] for k in sorted(by)] == list(range(len(by)))
+        found.append((by, ids))
+    assert found[0] == found[1]
