@@ -32,8 +32,8 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE, BUCKETS, SWITCH, SEED = 6000, 1 << 15, 8.0, 11
 #: Letters in one script by fewer than this share do not make it a script of the language.
 SCRIPT_SHARE = 0.01
-#: Words whose labels are found together; a longer text is alone.
-TOGETHER = 3_000_000
+#: Bytes of scores and choices, by words and languages, whose labels are found together; a longer text is alone.
+TOGETHER = 64 << 20
 
 #: First code points of script ranges; each lasts to the next.
 SCRIPTS = {
@@ -198,7 +198,7 @@ def _predict(model, penalty: float):
             ids.append(batch.column("doc_id"))
             held.append(words)
             n += len(words.doc)
-            if n >= TOGETHER:
+            if n * len(m["langs"]) * 5 >= TOGETHER:
                 yield flush()
                 ids, held, scores, n = [], [], [], 0
         if ids:
