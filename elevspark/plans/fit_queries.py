@@ -65,12 +65,26 @@ def ls_filtered_trend(spark, d):
     return rounded(regression.ls(weighted(spark, d), ["pixel"], w="w", conf_filter=0.99))
 
 
-@query("robust_wls")
+def robust_sql(w: str, passes: int = 12) -> str:
+    """Passes of fit and removal, one after the other; a group that keeps all points is not changed by further ones."""
+    ctes = [f"k0 AS (SELECT pixel, t, z, {w} AS w FROM obs)"]
+    for i in range(passes):
+        ctes.append(f"""f{i}_m AS (SELECT pixel, sum(w * t) / sum(w) AS mx, sum(w * z) / sum(w) AS my FROM k{i} GROUP BY pixel), f{i} AS (
+  SELECT pixel, any_value(mx) AS mx, any_value(my) AS my, sum(w * (t - mx) * (z - my)) / sum(w * (t - mx) * (t - mx)) AS b, count(*) AS n, max(abs(z)) AS big FROM k{i} JOIN f{i}_m USING (pixel) GROUP BY pixel),
+r{i} AS (SELECT k.*, z - my - b * (t - mx) AS res, big FROM k{i} k JOIN f{i} USING (pixel)),
+l{i} AS (SELECT pixel, 1.4826::DOUBLE * mad(res) AS m, stddev_pop(res) AS s FROM r{i} GROUP BY pixel),
+k{i + 1} AS (SELECT pixel, t, z, w FROM r{i} JOIN l{i} USING (pixel) WHERE abs(res) < 4 * CASE WHEN m > 0 AND s / m > 20 THEN m ELSE s END OR 4 * CASE WHEN m > 0 AND s / m > 20 THEN m ELSE s END <= 1e-9::DOUBLE * (1 + big))""")
+    last = passes - 1
+    return f"""WITH {OBS}, {', '.join(ctes)}, c AS (SELECT pixel, count(*) AS every FROM obs GROUP BY pixel)
+SELECT pixel, {r('b')} AS slope, {r('my - b * mx')} AS intercept, n, CAST(every - n AS BIGINT) AS dropped FROM f{last} JOIN c USING (pixel)"""
+
+
+@query("robust_wls", robust_sql("1 / err"))
 def robust_wls(spark, d):
     return rounded(regression.robust_wls(obs(spark, d), ["pixel"]))
 
 
-@query("detrend")
+@query("detrend", robust_sql("1.0::DOUBLE"))
 def detrend(spark, d):
     return rounded(regression.detrend(obs(spark, d), ["pixel"]))
 

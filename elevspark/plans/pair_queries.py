@@ -305,6 +305,24 @@ def correlated_errors(spark, d):
     return rounded(hypso.correlated_errors(s, ["feature", "year"]))
 
 
+def rect_sql(name: str, source: str, area: str, models: list[tuple[str, str, str, object]], sills: str) -> str:
+    """A CTE ``name``: the rows of ``source`` with neff, the effective samples of a rectangle of ``area`` and the width of a bin."""
+    total = lambda h: " + ".join(f(h, a, c) for _, a, c, f in models)
+    wide = repr(100 / math.tan(math.radians(30)))
+    return f"""{name}_w AS (SELECT *, least({wide}, {area} / {wide}) AS w FROM {source}), {name}_e AS (SELECT *, w / 2 AS lo, ({area} / w - w / 2) / 99 AS st FROM {name}_w),
+{name} AS (SELECT * EXCLUDE (w, lo, st), {sills} * {area} / (2 * pi() * ({total('lo')} + list_sum([({total('(lo + st * (i + 1))')} - ({total('(lo + st * i)')})) * 2 / pi() * atan(w / (2 * (lo + st * i + st / 2))) FOR i IN range(0, 99)]))) AS neff_{name} FROM {name}_e)"""
+
+
+@query("hypso_bin_errors", f"""WITH {SERIES}, {BINNED}, {CLEAN}, {MEANS}, q AS (SELECT feature, bin, year, ss_err, std, n * 900.0::DOUBLE AS am, n * 1350.0::DOUBLE AS area_all, pow(10, 2 + n * 13500.0::DOUBLE / 1e6 / 2.5) AS cr FROM means),
+{rect_sql('m', 'q', 'am', [('Sph', '100.0', '16.0', sph_int), ('Sph', '1500.0', '0.36', sph_int)], '16.36')}, {rect_sql('t', 'm', 'area_all', [('Exp', 'cr', 'std', exp_int)], 'std')}, {rect_sql('s', 't', 'am', [('Exp', 'cr', 'std', exp_int)], 'std')},
+e AS (SELECT *, ss_err / sqrt(neff_m) AS num, CASE WHEN std > 0 THEN coalesce(std * sqrt((neff_t - neff_s) / (neff_t * neff_t)), 0) ELSE 0 END AS geo FROM s)
+SELECT feature, {r('bin')} AS bin, CAST(year AS BIGINT) AS year, {r('geo', 4)} AS geo_err, {r('sqrt(num * num + geo * geo)', 4)} AS all_err FROM e""")
+def hypso_bin_errors(spark, d):
+    m = hypso.bin_means(_clean(spark, d), ["feature", "bin", "bin_mid", "year"]).withColumn("area_meas", F.col("n") * 900.0)
+    m = m.withColumn("area", F.col("area_meas") * 1.5).withColumn("feature_area", F.col("area") * 10)
+    return rounded(hypso.bin_errors(m, 100.0).select("feature", "bin", "year", "geo_err", "all_err"), 4)
+
+
 @query("hypso_errors", f"""WITH {SERIES}, {BINNED}, {CLEAN}, {MEANS}, q AS (SELECT feature, bin, year, ss_err, n * 900.0::DOUBLE AS am, least({100 / math.tan(math.radians(30))!r}, n * 900.0 / {100 / math.tan(math.radians(30))!r}) AS w FROM means),
 e AS (SELECT *, w / 2 AS lo, (am / w - w / 2) / 99 AS st FROM q),
 s AS (SELECT *, {sph_int('lo', '100.0', '16.0')} + {sph_int('lo', '1500.0', '0.36')} + list_sum([({sph_int('(lo + st * (i + 1))', '100.0', '16.0')} + {sph_int('(lo + st * (i + 1))', '1500.0', '0.36')} - {sph_int('(lo + st * i)', '100.0', '16.0')} - {sph_int('(lo + st * i)', '1500.0', '0.36')}) * 2 / pi() * atan(w / (2 * (lo + st * i + st / 2))) FOR i IN range(0, 99)]) AS f FROM e)
