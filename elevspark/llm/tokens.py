@@ -111,7 +111,7 @@ class Encoder:
             except UnicodeEncodeError:
                 return text
         low = text.lower()
-        return text if any(x in low for x in self.specials) else _CLOSING.sub(r" \1", low)
+        return text if any(x in low for x in self.specials) else _CLOSING.sub(r" \g<0>", low)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -171,7 +171,7 @@ def _split(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
-_CLOSING = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,;:!?]+)(?![^\x20\x09-\x0D])")
+_CLOSING = re.compile(r"[.,;:!?](?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)[.,;:!?]*(?![^\x20\x09-\x0D])")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
