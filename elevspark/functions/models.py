@@ -60,6 +60,9 @@ def covariance_integral(upper, crange, model: str, psill) -> Column:
         return c * (a * a - a * (a + h) * F.exp(-h / a))
     if model == "Gau":
         return c * a * a / 2 * (1 - F.exp(-(h / a) * (h / a)))
+    if model == "Exc":  # exponent 1/2: the incomplete gamma function of order 4
+        s = F.sqrt(h / a)
+        return 2 * c * a * a * (6 - F.exp(-s) * (((s + 3) * s + 6) * s + 6))
     raise ValueError(f"no closed form for {model}")
 
 
@@ -87,13 +90,16 @@ def _integrals(h: np.ndarray, a: np.ndarray, c: np.ndarray, model: str) -> np.nd
         return c * (a * a - a * (a + h) * np.exp(-h / a))
     if model == "Gau":
         return c * a * a / 2 * (1 - np.exp(-((h / a) ** 2)))
+    if model == "Exc":
+        s = np.sqrt(h / a)
+        return 2 * c * a * a * (6 - np.exp(-s) * (((s + 3) * s + 6) * s + 6))
     raise ValueError(f"no closed form for {model}")
 
 
 def neff_rect(area, width, models, pieces: int = 99) -> Column:
     """Effective samples in a rectangle: a disk of its smaller side, then rings cut by the long edges."""
     names = [m for _, m, _ in models]
-    if unknown := set(names) - {"Sph", "Exp", "Gau"}:
+    if unknown := set(names) - set(MODELS):
         raise ValueError(f"no closed form for {unknown}")
 
     @F.arrow_udf("double")

@@ -87,9 +87,10 @@ def _predict(kernel, t, y, v, grid):
     return mean, np.sqrt(np.maximum(own - np.sum(half[:, :-1] ** 2, axis=0), 0))
 
 
-def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray, unstable: bool = True, robust_trend: bool = False, kernel=None):
+def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray, unstable: bool = True, robust_trend: bool = False, kernel=None, refit_trend: bool = False):
     """(mean, sigma) on ``grid`` (years) and which observations are kept; NaN where fewer than two are left.
 
+    ``robust_trend`` takes a robust line out before the fit, that of the first round or, with ``refit_trend``, of each.
     ``kernel(a, b)`` replaces the default. ``grid`` must cover the observations.
     """
     keep = np.isfinite(t) & np.isfinite(z) & np.isfinite(err)
@@ -99,6 +100,7 @@ def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray,
     v = err**2
     removed, final, rounds = 1, False, 0
     mean = sigma = nothing
+    trend = None
     places = np.flatnonzero(keep)
     if kernel is None:
         among, across = _Distances(t[places], t[places], unstable), _Distances(grid, t[places], unstable)
@@ -108,7 +110,9 @@ def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray,
         parameters = _parameters(t[good], z[good], v[good], final, rounds == 0)
         shift = t[good].mean()
         if robust_trend:
-            slope, intercept, _ = robust_line(t[good], z[good], np.ones(good.sum()))
+            if trend is None or refit_trend:
+                trend = robust_line(t[good], z[good], np.ones(good.sum()))[:2]
+            slope, intercept = trend
             if not np.isfinite(slope):
                 return nothing, nothing, keep
             base_obs, base_grid = slope * t + intercept, slope * grid + intercept
@@ -138,7 +142,7 @@ def fit_series(t: np.ndarray, z: np.ndarray, err: np.ndarray, grid: np.ndarray,
     return mean, sigma, keep
 
 
-def _fits(df: DataFrame, keys: list[str], grid: list[float], t: str, z: str, err: str, unstable: str | None, robust_trend: bool, kernel) -> DataFrame:
+def _fits(df: DataFrame, keys: list[str], grid: list[float], t: str, z: str, err: str, unstable: str | None, robust_trend: bool, kernel, refit_trend: bool) -> DataFrame:
     """A row per group: keys, z and z_ci on the grid, the times of its observations and whether each is kept."""
     types = dict(df.dtypes)
     at = np.asarray(grid, float)
@@ -148,7 +152,7 @@ def _fits(df: DataFrame, keys: list[str], grid: list[float], t: str, z: str, err
         pdf = pdf.sort_values([t, z])
         flag = bool(pdf[unstable].iloc[0]) if unstable else True
         times = pdf[t].to_numpy(float)
-        mean, sigma, keep = fit_series(times, pdf[z].to_numpy(float), pdf[err].to_numpy(float), at, flag, robust_trend, kernel)
+        mean, sigma, keep = fit_series(times, pdf[z].to_numpy(float), pdf[err].to_numpy(float), at, flag, robust_trend, kernel, refit_trend)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "z": [mean], "z_ci": [sigma], "times": [times], "kept": [keep]})
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", z array<double>, z_ci array<double>, times array<double>, kept array<boolean>"
@@ -161,13 +165,13 @@ def _series(fits: DataFrame, keys: list[str], grid: list[float]) -> DataFrame:
     return fits.select(*keys, F.explode(F.arrays_zip(at.alias("t"), "z", "z_ci")).alias("s"), n).select(*keys, "s.t", "s.z", "s.z_ci", "n_kept")
 
 
-def fit_gp(df: DataFrame, keys: list[str], grid: list[float], t: str = "t", z: str = "z", err: str = "err", unstable: str | None = None, robust_trend: bool = False, kernel=None) -> DataFrame:
+def fit_gp(df: DataFrame, keys: list[str], grid: list[float], t: str = "t", z: str = "z", err: str = "err", unstable: str | None = None, robust_trend: bool = False, kernel=None, refit_trend: bool = False) -> DataFrame:
     """keys, t, z, z_ci on ``grid`` (in the unit of ``t``, years) and n_kept for every group."""
-    return _series(_fits(df, keys, grid, t, z, err, unstable, robust_trend, kernel), keys, grid)
+    return _series(_fits(df, keys, grid, t, z, err, unstable, robust_trend, kernel, refit_trend), keys, grid)
 
 
-def fit_gp_kept(df: DataFrame, keys: list[str], grid: list[float], t: str = "t", z: str = "z", err: str = "err", unstable: str | None = None, robust_trend: bool = False, kernel=None) -> tuple[DataFrame, DataFrame]:
+def fit_gp_kept(df: DataFrame, keys: list[str], grid: list[float], t: str = "t", z: str = "z", err: str = "err", unstable: str | None = None, robust_trend: bool = False, kernel=None, refit_trend: bool = False) -> tuple[DataFrame, DataFrame]:
     """(series as of :func:`fit_gp`, (keys, t, kept) of every observation), both from one fit."""
-    fits = cut(_fits(df, keys, grid, t, z, err, unstable, robust_trend, kernel))
+    fits = cut(_fits(df, keys, grid, t, z, err, unstable, robust_trend, kernel, refit_trend))
     kept = fits.select(*keys, F.explode(F.arrays_zip(F.col("times").alias("t"), "kept")).alias("s")).select(*keys, "s.t", "s.kept")
     return _series(fits, keys, grid), kept

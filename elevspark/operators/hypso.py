@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import kernel, linear_err, neff_circ, neff_rect, std_err, std_err_finite
@@ -30,20 +30,23 @@ GROWTH = (
 ONSET, FOLLOWS, LONGEST, LONGEST_TOTAL = (0, 0, 0, 180, 180), (1, 1, 1, 2, 1), 500000.0, 200000.0
 
 
-def elevation_bins(df: DataFrame, keys: list[str], ref: str = "ref", size: float = 100.0, few: int = 50) -> DataFrame:
-    """``df`` with bin (lower edge) and bin_mid; a feature of ``few`` pixels or fewer is one bin.
+def elevation_bins(df: DataFrame, keys: list[str], ref: str = "ref", size: float = 100.0, few: int = 50, percent: float | None = None) -> DataFrame:
+    """``df`` with bin (lower edge), bin_mid and bin_size; a feature of ``few`` pixels or fewer is one bin.
 
-    Bins are half-open from the floor of the lowest pixel; a highest pixel that lies on an edge is in none.
+    Bins are half-open and begin at the lowest pixel, floored to ``size``; a highest pixel that lies on an edge is in
+    none unless the feature is flat. With ``percent`` a bin is that share of the feature's range, rounded up to a whole
+    number, and the floor is to ``percent``.
     """
+    step = float(size if percent is None else percent)
     span = df.groupBy(*keys).agg(F.min(ref).alias("_lo"), F.max(ref).alias("_hi"), F.count_distinct("pixel").alias("_n"))
     out = df.join(span, keys)
-    low = F.col("_lo") - F.pmod("_lo", F.lit(size))
+    low = F.col("_lo") - F.pmod("_lo", F.lit(step))
+    high = F.when(F.col("_hi") == low, low + 0.01).otherwise(F.col("_hi"))
     one = F.col("_n") <= few
-    edge = F.col(ref) - F.pmod(ref, F.lit(size))
-    inside = one | (edge < F.col("_hi"))
-    out = out.where(inside).withColumn("bin", F.when(one, low).otherwise(edge))
-    out = out.withColumn("bin_mid", F.when(one, (F.col("_lo") + F.col("_hi")) / 2).otherwise(F.col("bin") + size / 2))
-    return out.drop("_lo", "_hi", "_n")
+    wide = F.lit(step) if percent is None else F.ceil(F.lit(percent / 100) * (high - low)).cast("double")
+    out = out.withColumn("bin_size", F.when(one, high + 0.01 - low).otherwise(wide))
+    out = out.withColumn("bin", F.when(one, low).otherwise(low + F.floor((F.col(ref) - low) / F.col("bin_size")) * F.col("bin_size")))
+    return out.where(F.col("bin") < high).withColumn("bin_mid", F.col("bin") + F.col("bin_size") / 2).drop("_lo", "_hi", "_n")
 
 
 def drop_outliers(df: DataFrame, keys: list[str], at: str, value: str = "dh", factor: float = OUTLIER) -> DataFrame:
@@ -65,9 +68,9 @@ def bin_means(df: DataFrame, keys: list[str], value: str = "dh", err: str = "err
     )
 
 
-def bin_errors(df: DataFrame, size: float, area_total: str = "area", area_measured: str = "area_meas", feature_area: str = "feature_area") -> DataFrame:
-    """Adds num_err, geo_err and all_err to bins (std, ss_err, areas): instrument, and the part of the bin not seen."""
-    width = F.lit(size / math.tan(math.radians(DEFAULT_SLOPE)))
+def bin_errors(df: DataFrame, size, area_total: str = "area", area_measured: str = "area_meas", feature_area: str = "feature_area") -> DataFrame:
+    """Adds num_err, geo_err and all_err to bins (std, ss_err, areas) of ``size`` (a number or a column): instrument, and the part of the bin not seen."""
+    width = (size if isinstance(size, Column) else F.lit(float(size))) / math.tan(math.radians(DEFAULT_SLOPE))
     crange = F.pow(F.lit(10.0), 2 + F.col(feature_area) / 1e6 / 2.5)
     sill = F.col("std")
     geo = std_err_finite(sill, neff_rect(F.col(area_total), width, [(crange, "Exp", sill)]), neff_rect(F.col(area_measured), width, [(crange, "Exp", sill)]))
@@ -77,10 +80,11 @@ def bin_errors(df: DataFrame, size: float, area_total: str = "area", area_measur
     return df.withColumn("all_err", F.sqrt(F.col("num_err") * F.col("num_err") + F.col("geo_err") * F.col("geo_err")))
 
 
-def fill_voids(df: DataFrame, keys: list[str], x: str = "bin_mid", y: str = "mean", err: str = "all_err", acceleration: float = ACCELERATION) -> DataFrame:
+def fill_voids(df: DataFrame, keys: list[str], x: str = "bin_mid", y: str = "mean", err: str = "all_err", acceleration: float = ACCELERATION, leave_one_out: bool = False) -> DataFrame:
     """Bins without a mean take the line through the two nearest with one (on either side or the same).
 
-    Adds lin_err, the error of the interpolation there. With one bin that has a mean, voids stay.
+    Adds lin_err, the error of the interpolation there. With one bin that has a mean, voids stay. With ``leave_one_out``
+    bins that have a mean take the line through the two nearest others too.
     The two nearest are among the two before and the two after: windows, not a product of bins.
     """
     w = Window.partitionBy(*keys).orderBy(x)
@@ -92,7 +96,7 @@ def fill_voids(df: DataFrame, keys: list[str], x: str = "bin_mid", y: str = "mea
     df = df.withColumn("_near", near)
     p, q, at = F.get("_near", F.lit(0)), F.get("_near", F.lit(1)), F.col(x)
     a, b = (q["x"] - at) / (q["x"] - p["x"]), (at - p["x"]) / (q["x"] - p["x"])
-    void = F.col(y).isNull() & (F.size("_near") >= 2)
+    void = (F.lit(leave_one_out) | F.col(y).isNull()) & (F.size("_near") >= 2)
     return (
         df.withColumn("_y", F.when(void, a * p["y"] + b * q["y"]).otherwise(F.col(y)))
         .withColumn("_e", F.when(void, F.sqrt(a * a * p["e"] * p["e"] + b * b * q["e"] * q["e"])).otherwise(F.col(err)))
@@ -115,7 +119,7 @@ def local_regression(df: DataFrame, keys: list[str], crange: float, x: str = "x"
     return g.select(*keys, F.col("x0").alias("x"), F.try_divide(F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy"), det).alias("smooth"))
 
 
-def hypso_covariance(df: DataFrame, keys: list[str], crange: str = "crange", err: str = "err", slope: str = "slope", x: str = "bin_mid", area: str = "area", size: float = 100.0, model: str = "Exp") -> DataFrame:
+def hypso_covariance(df: DataFrame, keys: list[str], crange: str = "crange", err: str = "err", slope: str = "slope", x: str = "bin_mid", area: str = "area", size=100.0, model: str = "Exp") -> DataFrame:
     """keys, err_total: error of the mean of bins whose errors correlate with the distance along the slope."""
     before = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_d", F.coalesce(F.sum(size / F.tan(F.radians(slope))).over(before), F.lit(0.0)))
@@ -164,19 +168,19 @@ def integrated_errors(df: DataFrame, area: str = "area_meas") -> DataFrame:
     return df.withColumn("num_err", F.when(total > 0, std_err(total, neff_circ(F.col(area), models))).otherwise(0.0))
 
 
-def integrate(obs: DataFrame, keys: list[str], pixel_area: float, t: str = "t", size: float = 100.0) -> tuple[DataFrame, DataFrame]:
+def integrate(obs: DataFrame, keys: list[str], pixel_area: float, t: str = "t", size: float = 100.0, percent: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(series, bins) of features from dh, err, ref and days per pixel and date.
 
     series: keys, t, dh, err_dh, err_corr_*, perc_area_meas, perc_area_res, dt, std_dt. bins: keys, bin, bin_mid, t, mean, all_err, lin_err.
     Pixels whose error at the feature's last date passes 500 count as void. A feature that is void everywhere has its
-    dates with null dh and errors.
+    dates with null dh and errors. ``percent``: bins by a share of the range, see :func:`elevation_bins`.
     """
     obs = obs.join(obs.groupBy(*keys).agg(F.max(t).alias("_last")), keys)
     end = obs.where(F.col(t) == F.col("_last")).groupBy(*keys, "pixel").agg(F.max("err").alias("_end"))
     obs = obs.join(end, [*keys, "pixel"], "left")
-    obs = cut(elevation_bins(obs, keys, size=size).withColumn("dh", F.when(F.col("_end") <= LARGEST_ERROR, F.col("dh"))))
-    pixels = obs.groupBy(*keys, "bin", "bin_mid", "pixel").agg(F.max(F.col("dh").isNotNull().cast("int")).alias("_has"))
-    areas = pixels.groupBy(*keys, "bin", "bin_mid").agg((F.count("*") * pixel_area).alias("area"), (F.sum("_has") * pixel_area).alias("area_res"))
+    obs = cut(elevation_bins(obs, keys, size=size, percent=percent).withColumn("dh", F.when(F.col("_end") <= LARGEST_ERROR, F.col("dh"))))
+    pixels = obs.groupBy(*keys, "bin", "bin_mid", "bin_size", "pixel").agg(F.max(F.col("dh").isNotNull().cast("int")).alias("_has"))
+    areas = pixels.groupBy(*keys, "bin", "bin_mid", "bin_size").agg((F.count("*") * pixel_area).alias("area"), (F.sum("_has") * pixel_area).alias("area_res"))
     clean = cut(drop_outliers(obs.where("dh IS NOT NULL").withColumn("_final", F.col(t) == F.col("_last")), [*keys, "bin"], "_final"))
     seen = clean.select(*keys, "bin", "pixel").distinct().groupBy(*keys, "bin").agg((F.count("*") * pixel_area).alias("area_meas"))
     feature = areas.groupBy(*keys).agg(F.sum("area").alias("feature_area"))
@@ -184,9 +188,9 @@ def integrate(obs: DataFrame, keys: list[str], pixel_area: float, t: str = "t",
     means = bin_means(clean, [*keys, "bin", t])
     grid = areas.join(obs.select(*keys, t).distinct(), keys).join(means, [*keys, "bin", t], "left")
     sill = F.last("std", ignorenulls=True).over(Window.partitionBy(*keys, "bin").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    bins = cut(fill_voids(cut(bin_errors(grid.withColumn("std", sill), size)), [*keys, t]))
-    geo = bins.where("n IS NOT NULL").groupBy(*keys, "bin", "bin_mid").agg(F.max("geo_err").alias("err"), F.first("area").alias("area"), F.pow(F.lit(10.0), 2 + F.first("feature_area") / 1e6 / 2.5).alias("crange")).withColumn("slope", F.lit(DEFAULT_SLOPE))
-    geo = hypso_covariance(geo, keys, size=size).withColumnRenamed("err_total", "geo_total")
+    bins = cut(fill_voids(cut(bin_errors(grid.withColumn("std", sill), F.col("bin_size"))), [*keys, t]))
+    geo = bins.where("n IS NOT NULL").groupBy(*keys, "bin", "bin_mid", "bin_size").agg(F.max("geo_err").alias("err"), F.first("area").alias("area"), F.pow(F.lit(10.0), 2 + F.first("feature_area") / 1e6 / 2.5).alias("crange")).withColumn("slope", F.lit(DEFAULT_SLOPE))
+    geo = hypso_covariance(geo, keys, size=F.col("bin_size")).withColumnRenamed("err_total", "geo_total")
     total = bins.groupBy(*keys, t).agg(F.try_divide(F.sum(F.col("mean") * F.col("area")), F.max("feature_area")).alias("dh"), F.sum("area_meas").alias("area_meas"), F.sum("area_res").alias("area_res"), F.max("feature_area").alias("area"))
     lag = correlated_errors(obs, [*keys, t])
     days = obs.groupBy(*keys, t).agg(F.avg("days").alias("dt"), F.stddev_pop("days").alias("std_dt"))

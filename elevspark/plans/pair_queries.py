@@ -221,8 +221,8 @@ def yearfraction(spark, d):
     return rounded(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", year_fraction(F.col("o_orderdate")).alias("yf")), 9)
 
 
-BINNED = """sp AS (SELECT feature, min(ref) AS lo, max(ref) AS hi, count(DISTINCT pixel) AS np FROM series GROUP BY feature),
-binned AS (SELECT s.*, CASE WHEN np <= 50 THEN lo - (lo - 100 * floor(lo / 100)) ELSE 100 * floor(ref / 100) END AS bin, CASE WHEN np <= 50 THEN (lo + hi) / 2 ELSE 100 * floor(ref / 100) + 50 END AS bin_mid
+BINNED = """sp AS (SELECT feature, 100 * floor(min(ref) / 100) AS lo, CASE WHEN max(ref) = 100 * floor(min(ref) / 100) THEN max(ref) + 0.01 ELSE max(ref) END AS hi, count(DISTINCT pixel) AS np FROM series GROUP BY feature),
+binned AS (SELECT s.*, CASE WHEN np <= 50 THEN lo ELSE 100 * floor(ref / 100) END AS bin, CASE WHEN np <= 50 THEN lo + (hi + 0.01 - lo) / 2 ELSE 100 * floor(ref / 100) + 50 END AS bin_mid
   FROM series s JOIN sp USING (feature) WHERE np <= 50 OR 100 * floor(ref / 100) < hi)"""
 CLEAN = """st AS (SELECT feature, bin, count(*) AS n, median(dh) AS m, 1.4826::DOUBLE * mad(dh) AS s FROM binned WHERE year = 2001 GROUP BY feature, bin),
 far AS (SELECT DISTINCT b.feature, b.bin, b.pixel FROM binned b JOIN st USING (feature, bin) WHERE year = 2001 AND n > 10 AND s > 0 AND abs(dh - m) >= 1.5 * s),
@@ -235,6 +235,15 @@ def hypso_bins(spark, d):
     return rounded(b.groupBy("feature", "bin", "bin_mid").agg(F.count("*").alias("n"), F.count_distinct("pixel").alias("pixels")))
 
 
+@query("hypso_percent_bins", f"""WITH {SERIES}, sp AS (SELECT feature, 10 * floor(min(ref) / 10) AS lo, max(ref) AS top, count(DISTINCT pixel) AS np FROM series GROUP BY feature),
+z AS (SELECT *, CASE WHEN top = lo THEN lo + 0.01 ELSE top END AS hi FROM sp), w AS (SELECT *, CASE WHEN np <= 50 THEN hi + 0.01 - lo ELSE ceil(0.1::DOUBLE * (hi - lo)) END AS bin_size FROM z),
+b AS (SELECT feature, pixel, hi, bin_size, CASE WHEN np <= 50 THEN lo ELSE lo + floor((ref - lo) / bin_size) * bin_size END AS bin FROM series JOIN w USING (feature))
+SELECT feature, {r('bin')} AS bin, {r('bin + bin_size / 2')} AS bin_mid, {r('bin_size')} AS bin_size, count(*) AS n, count(DISTINCT pixel) AS pixels FROM b WHERE bin < hi GROUP BY feature, bin, bin_size""")
+def hypso_percent_bins(spark, d):
+    b = hypso.elevation_bins(series(spark, d), ["feature"], percent=10.0)
+    return rounded(b.groupBy("feature", "bin", "bin_mid", "bin_size").agg(F.count("*").alias("n"), F.count_distinct("pixel").alias("pixels")))
+
+
 def _clean(spark, d):
     b = hypso.elevation_bins(series(spark, d), ["feature"]).withColumn("final", F.col("year") == 2001)
     return hypso.drop_outliers(b, ["feature", "bin"], "final", factor=1.5)

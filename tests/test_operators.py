@@ -94,6 +94,19 @@ def test_gp_recovers_a_series_and_drops_outliers():
     assert np.isfinite(own).all()
 
 
+def test_a_trend_is_taken_out_once_or_each_round(monkeypatch):
+    lines = []
+    monkeypatch.setattr(gp, "robust_line", lambda *a: lines.append(len(a[0])) or (-2.0, 100.0, None))
+    t = np.linspace(0, 16, 40)
+    z = 100 - 2 * t + np.sin(7 * t)
+    z[[4, 30]] += 300
+    first = gp.fit_series(t, z, np.full(40, 2.0), t, robust_trend=True)
+    assert lines == [40] and not first[2][[4, 30]].any() and np.abs(first[0] - (100 - 2 * t)).max() < 5
+    lines.clear()
+    gp.fit_series(t, z, np.full(40, 2.0), t, robust_trend=True, refit_trend=True)
+    assert len(lines) > 2 and lines[-1] < 40
+
+
 def test_time_filter_boundaries(spark):
     rows = [(0.0, 100000.0), (365.24, -149.9), (365.24, -151.0), (-365.24, 149.9), (365.24, 129.0), (365.24, 131.0)]
     df = spark.createDataFrame([(i, d, z, 0.0) for i, (d, z) in enumerate(rows)], "i int, days double, z double, ref double")
@@ -191,6 +204,31 @@ def test_void_bins_and_edges(spark):
     assert bins == {(1, 0): -100.0, (1, 1): 0.0, (1, 2): 0.0, (1, 3): 100.0, (2, 9): 0.0}  # the highest pixel lies on an edge: in no bin
 
 
+def test_each_bin_from_the_others(spark):
+    rows = [(1, 0.0, 1.0, 2.0), (1, 100.0, 50.0, 2.0), (1, 200.0, None, None), (1, 300.0, 7.0, 4.0), (2, 0.0, 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, x double, y double, e double")
+    got = {(r.k, r.x): (r.y, r.e, r.lin_err) for r in hypso.fill_voids(df, ["k"], "x", "y", "e", leave_one_out=True).collect()}
+    line = lambda x0, p, q: ((q[0] - x0) / (q[0] - p[0]) * p[1] + (x0 - p[0]) / (q[0] - p[0]) * q[1], np.hypot((q[0] - x0) / (q[0] - p[0]) * p[2], (x0 - p[0]) / (q[0] - p[0]) * q[2]))
+    a, b, c = (0.0, 1.0, 2.0), (100.0, 50.0, 2.0), (300.0, 7.0, 4.0)
+    for x0, p, q in ((0.0, b, c), (100.0, a, c), (200.0, b, c), (300.0, b, a)):
+        assert got[1, x0][:2] == pytest.approx(line(x0, p, q)) and got[1, x0][2] == pytest.approx((p[0] - x0) ** 2 / 8 * 0.002)
+    assert got[2, 0.0] == (3.0, 1.0, None)  # there are no others
+
+
+def test_bins_by_a_share_of_the_range(spark):
+    rows = [("a", i, 103.0 + i) for i in range(60)] + [("flat", i, 200.0) for i in range(60)] + [("few", i, 103.0 + i) for i in range(3)]
+    df = spark.createDataFrame(rows, "f string, pixel int, ref double")
+    got = {}
+    for r in hypso.elevation_bins(df, ["f"], percent=10.0).collect():
+        got.setdefault((r.f, r.bin, r.bin_mid, r.bin_size), []).append(r.ref)
+    # 162 - 100 is cut into sevenths: 6.2 rounded up
+    want = {("a", 100.0 + 7 * k, 103.5 + 7 * k, 7.0): [103.0 + i for i in range(60) if 7 * k <= 3 + i < 7 * k + 7] for k in range(9)}
+    assert {k: sorted(v) for k, v in got.items() if k[0] == "a"} == want
+    assert [k[1:] for k in got if k[0] == "few"] == [(100.0, pytest.approx(102.505), pytest.approx(5.01))]
+    assert [(k[1], len(v)) for k, v in got.items() if k[0] == "flat"] == [(200.0, 60)]
+    assert hypso.elevation_bins(df.where("f = 'flat'"), ["f"]).count() == 60
+
+
 def test_covariance_limits(spark):
     rows = [(1, 100.0 * i, 2.0, 30.0, 5.0, c) for i, c in ((0, 1e12), (1, 1e12))] + [(2, 100.0 * i, 2.0, 30.0, 5.0, 1e-9) for i in range(2)]
     got = {r.k: r.err_total for r in hypso.hypso_covariance(spark.createDataFrame(rows, "k int, bin_mid double, err double, slope double, area double, crange double"), ["k"]).collect()}
