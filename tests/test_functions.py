@@ -20,6 +20,8 @@ def integral(f, a, b):
 def cov(h, a, m, c):
     if m == "Sph":
         return np.where(h < a, c * (1 - 1.5 * h / a + 0.5 * (h / a) ** 3), 0)
+    if m == "Exc":
+        return c * np.exp(-np.sqrt(h / a))
     return c * np.exp(-h / a)
 
 
@@ -34,7 +36,7 @@ def test_student_expression_meets_its_table(spark):
     assert all(r.t == pytest.approx(student.quantile(0.975, r.id), abs=1e-8) for r in rows[1:])
 
 
-@pytest.mark.parametrize("m", ["Sph", "Exp"])
+@pytest.mark.parametrize("m", ["Sph", "Exp", "Exc"])
 @pytest.mark.parametrize("area", [2e4, 5e6])
 def test_effective_samples_match_quadrature(spark, m, area):
     r = one(spark, c=models.neff_circ(area, [(300.0, m, 2.0), (900.0, "Exp", 0.5)]), r=models.neff_rect(area, 60.0, [(300.0, m, 2.0)]))
