@@ -3,10 +3,12 @@
 Each rule rejects a document whose metric exceeds a cutoff from a fixed grid. Labelled documents
 (``labels.quality``) that pass the base rules are the holdout. In each stratum (the language, one
 stratum for null) a cutoff is admissible if the exact binomial tail P(Bin(n, risk) <= k), with k of
-n good documents rejected, is at most ``delta`` divided by the number of tests (rules x cutoffs x
-strata): with probability 1 - delta no admitted cutoff rejects more than ``risk`` of the good
-documents of its stratum. Of the admissible cutoffs the one is taken that rejects most bad documents
-net of good ones, the largest such; a rule without an admissible or useful cutoff is off.
+n good documents rejected, is at most ``delta`` divided by the number of sequences (rules x strata).
+The cutoffs of a rule are tested from the largest down, a sequence fixed beforehand, until one fails;
+k can only grow on the way, so those that pass alone are those before the first that fails. With
+probability 1 - delta no admitted cutoff rejects more than ``risk`` of the good documents of its
+stratum. Of the admissible cutoffs the one is taken that rejects most bad documents net of good ones,
+the largest such; a rule without an admissible or useful cutoff is off.
 
 Defined results: null and empty texts have 0 in every count and fail the base rules; strata without
 labels have no rules beyond the base; repeated rows each give a row; an empty table gives an empty
@@ -37,24 +39,23 @@ def cutoffs(rule: str) -> list[float]:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more.
 
-    Windows are compared as 64-bit digests together with their place: sorted, equal neighbours are
-    repeats; the places of the repeats in order cover min(3, gap to the next) words each.
+    A text whose windows differ in their 64-bit digests has no repeat. In others windows are sorted by
+    digest, words and place: equal neighbours are repeats, and the places of the repeats in order cover
+    min(3, gap to the next) words each.
     """
     last = F.size(words) - 3
     windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
 
     def covered(ordered: Column) -> Column:
         n = F.size(ordered)
-        twice = F.filter(
-            ordered,
-            lambda x, i: ((i > 0) & (F.get(ordered, i - 1)["h"] == x["h"])) | ((i < n - 1) & (F.get(ordered, i + 1)["h"] == x["h"])),
-        )
+        alike = lambda x, y: (x["h"] == y["h"]) & (x["w"] == y["w"])
+        twice = F.filter(ordered, lambda x, i: ((i > 0) & alike(F.get(ordered, i - 1), x)) | ((i < n - 1) & alike(F.get(ordered, i + 1), x)))
         places = F.sort_array(F.transform(twice, lambda x: x["i"]))
         return _let(places, lambda p: F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0), lambda acc, k: acc + F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - F.get(p, k), F.lit(3)))))
 
     def of(hashes: Column) -> Column:
         same = F.size(F.array_distinct(hashes)) == F.size(hashes)
-        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("w"), i.alias("i"))))
         return F.when(same, F.lit(0)).otherwise(_let(pairs, covered))
 
     return F.when(last < 0, F.lit(0)).otherwise(_let(windows, of)).cast("long")
@@ -140,8 +141,8 @@ def chosen_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, d
     tests = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}_good").alias("k"), F.col(f"{rule}_{i}_bad").alias("hit")) for rule in METRICS for i, c in enumerate(cutoffs(rule))]))
     wide = wide.withColumn("strata", F.count("*").over(Window.partitionBy()))  # before the tests multiply the rows
     long = wide.select("stratum", "good", "strata", tests.alias("t")).select("stratum", "good", "strata", "t.*")
-    n_tests = F.col("strata") * sum(n for _, n in GRIDS.values())
-    long = long.where((F.col("good") > 0) & (F.col("hit") > F.col("k")) & (binomial_tail(F.col("k"), F.col("good"), risk) <= F.lit(delta) / n_tests))
+    sequences = F.col("strata") * len(GRIDS)
+    long = long.where((F.col("good") > 0) & (F.col("hit") > F.col("k")) & (binomial_tail(F.col("k"), F.col("good"), risk) <= F.lit(delta) / sequences))
     best = long.groupBy("stratum", "rule").agg(F.max(F.struct((F.col("hit") - F.col("k")).alias("net"), "cutoff"))["cutoff"].alias("cutoff"))
     return best.groupBy(F.col("stratum").alias("s")).agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"max_{rule}") for rule in METRICS])
 
@@ -165,7 +166,6 @@ def _oracle() -> str:
     grid = ", ".join(f"('{rule}', {c!r}::DOUBLE)" for rule in METRICS for c in cutoffs(rule))
     chosen = " OR ".join(f"coalesce(m.{rule} > (SELECT cutoff FROM best b WHERE b.stratum = m.stratum AND b.rule = '{rule}'), false)" for rule in METRICS)
     value = "CASE g.rule " + " ".join(f"WHEN '{rule}' THEN m.{rule}" for rule in METRICS) + " END"
-    n_grid = sum(n for _, n in GRIDS.values())
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
@@ -205,7 +205,7 @@ WITH d AS (
       FOR j IN range(0, CAST(k AS BIGINT) + 1)]) END AS p FROM t WHERE good > 0
 ), best AS (
   SELECT stratum, rule, max({{'net': hit - k, 'cutoff': cutoff}}).cutoff AS cutoff FROM tail
-  WHERE hit > k AND p <= {DELTA!r}::DOUBLE / (strata * {n_grid}) GROUP BY stratum, rule
+  WHERE hit > k AND p <= {DELTA!r}::DOUBLE / (strata * {len(GRIDS)}) GROUP BY stratum, rule
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({chosen}) AS kept FROM m
 """

@@ -72,6 +72,45 @@ def test_cutoffs_reject_junk_within_the_risk(spark):
     assert not any(kept[i] for i in range(0, 3000, 3)) and sum(not kept[i] for i in range(3000) if i % 3) <= 0.01 * 2000
 
 
+def test_cutoffs_match_a_binomial_search(spark):
+    """One rejected document decides: of 900 good ones a cutoff may reject 1, not 2; 600 bear none rejected, 500 nothing."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for stratum, good, far in (("a", 900, 1), ("b", 900, 2), ("c", 600, 0), ("d", 500, 0)):
+        for i in range(good + 200):
+            v = dict.fromkeys(q.METRICS, 0.0)
+            if i >= good:
+                v["symbols_per_word"], v["bangs_per_word"], v["dup_line_share"] = rng.choice([0.07, 0.15, 0.3, 2.0]), rng.choice([0.0, 0.15, 0.5]), rng.choice([0.0, 0.9])
+            elif i < far:
+                v["symbols_per_word"], v["bangs_per_word"] = 0.15, 0.9
+            elif i < 40:
+                v["symbols_per_word"], v["capital_share"] = 0.06, 0.5
+            rows.append((len(rows), stratum, False, *v.values()))
+            labels.append((len(labels), int(i < good)))
+    measured = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{m} double" for m in q.METRICS))
+    got = {r.s: r.asDict() for r in q.chosen_cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+
+    def tail(k, n):
+        return sum(math.comb(n, j) * q.RISK**j * (1 - q.RISK) ** (n - j) for j in range(k + 1))
+
+    y = dict(labels)
+    for stratum in "abcd":
+        mine = [r for r in rows if r[1] == stratum]
+        n = sum(y[r[0]] for r in mine)
+        for at, rule in enumerate(q.METRICS):
+            best = None
+            for c in reversed(q.cutoffs(rule)):  # from the largest down, until one fails
+                k = sum(y[r[0]] for r in mine if r[3 + at] > c)
+                hit = sum(1 - y[r[0]] for r in mine if r[3 + at] > c)
+                if tail(k, n) > q.DELTA / (4 * len(q.METRICS)):
+                    break
+                if hit > k and (best is None or hit - k > best[0]):
+                    best = (hit - k, c)
+            assert got.get(stratum, {}).get(f"max_{rule}") == (best and best[1]), (stratum, rule)
+    assert got["a"]["max_symbols_per_word"] == 0.1 and got["b"]["max_symbols_per_word"] == 0.2 and got["a"]["max_bangs_per_word"] == 0.1
+    assert "max_symbols_per_word" in got["c"] and "d" not in got
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql_agrees(spark, name):
     d = "/root/testdata/sf0.001"
