@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .error_model import nmad_by
+from .regression import dealt
 
 
 def time_pairs(df: DataFrame, keys: list[str], step: float, cutoff: float, t: str = "t", z: str = "z", order: str = "obs_id") -> DataFrame:
@@ -41,23 +42,38 @@ def temporal_variogram_median(df: DataFrame, keys: list[str], step: float, cutof
     return stats.select(*by, (F.col("lag") * step + step / 2).alias("lag"), F.col("median").alias("vmedian"), F.col("nmad").alias("vnmad"), "n")
 
 
+#: Places of a cell that one task compares with its surroundings: a dense cell is dealt into parts of about so many.
+PART = 4096
+
+
 def spatial_variogram(df: DataFrame, keys: list[str], cutoff: float, lags: int, x: str = "x", y: str = "y", z: str = "z", order: str = "id", least: int = 10) -> DataFrame:
-    """keys, lag (upper edge), gamma, n of groups with more than ``least`` points.
+    """keys, lag (upper edge), gamma, n of groups with more than ``least`` points, whose ``order`` tells them apart.
 
-    Pairs further apart than ``cutoff`` never meet: points are dealt into cells of that size and join
-    with the cells around their own.
+    Points of one place (no pair, being at distance zero) become its count, mean and variance, which give the sums over
+    the pairs of two places without their pairs. Pairs further apart than ``cutoff`` never meet: places are dealt into cells of
+    that size and join with their own and four of the eight around. Neither side's size is known before it is made, so
+    the joins are by sorting, not by a broadcast.
     """
     big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*keys)
-    df = df.join(big, keys, "left_semi").select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(z).alias("_z"), F.col(order).alias("_o"))
+    df = df.join(big, keys, "left_semi").select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(z).cast("double").alias("_z"), F.col(order).alias("_o"))
+    df = df.where(F.col("_o").isNotNull() & (F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")))
+    places = df.groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_n"), F.count("_z").alias("_m"), F.avg("_z").alias("_a"), F.var_pop("_z").alias("_v"))
     cell = lambda c: F.floor(F.col(c) / cutoff)
-    a = df.withColumn("_cx", cell("_x")).withColumn("_cy", cell("_y"))
-    around = F.explode(F.array(*[F.struct((cell("_x") + i).alias("_cx"), (cell("_y") + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = df.withColumn("_c", around).select(*keys, "_c._cx", "_c._cy", *[F.col(c).alias(c + "2") for c in ("_x", "_y", "_z", "_o")])
-    dist = F.sqrt(F.pow(F.col("_x") - F.col("_x2"), F.lit(2.0)) + F.pow(F.col("_y") - F.col("_y2"), F.lit(2.0)))
-    pairs = a.join(b, [*keys, "_cx", "_cy"]).where("_o < _o2").withColumn("_d", dist).where((F.col("_d") <= cutoff) & (F.col("_d") > 0))
+    at = [*keys, "_cx", "_cy"]
+    a = places.withColumn("_cx", cell("_x")).withColumn("_cy", cell("_y"))
+    parts = a.groupBy(*at).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")).hint("merge")
+    a = a.join(parts, at).withColumn("_part", F.pmod(F.xxhash64("_x", "_y"), "_parts").cast("int")).drop("_parts")
+    around = F.explode(F.array(*[F.struct((cell("_x") + i).alias("_cx"), (cell("_y") + j).alias("_cy"), F.lit((i, j) == (0, 0)).alias("_own")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))]))
+    b = places.withColumn("_c", around).select(*keys, "_c.*", *[F.col(c).alias(c + "2") for c in ("_x", "_y", "_n", "_m", "_a", "_v")])
+    b = b.join(parts, at).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    a, b = (dealt(side, [*at, "_part"]) for side in (a, b))
+    dx, dy, da = F.col("_x") - F.col("_x2"), F.col("_y") - F.col("_y2"), F.col("_a") - F.col("_a2")
+    once = ~F.col("_own") | (F.col("_x") < F.col("_x2")) | ((F.col("_x") == F.col("_x2")) & (F.col("_y") < F.col("_y2")))
+    pairs = a.join(b.hint("merge"), [*at, "_part"]).withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(once & (F.col("_d") <= cutoff) & (F.col("_d") > 0))
+    valid = F.col("_m") * F.col("_m2")
     lag = F.ceil(F.col("_d") / (cutoff / lags)).cast("int")
-    g = pairs.withColumn("lag", lag).groupBy(*keys, "lag").agg((F.avg(F.pow(F.col("_z") - F.col("_z2"), F.lit(2.0))) / 2).alias("gamma"), F.count("*").alias("n"))
-    return g.withColumn("lag", F.col("lag") * (cutoff / lags))
+    g = pairs.groupBy(*keys, lag.alias("lag")).agg(F.sum(valid * (da * da + F.col("_v") + F.col("_v2"))).alias("_sq"), F.sum(valid).alias("_valid"), F.sum(F.col("_n") * F.col("_n2")).alias("n"))
+    return g.select(*keys, (F.col("lag") * (cutoff / lags)).alias("lag"), (F.try_divide("_sq", "_valid") / 2).alias("gamma"), "n")
 
 
 def aggregate_variograms(df: DataFrame, keys: list[str]) -> DataFrame:

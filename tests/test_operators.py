@@ -156,6 +156,37 @@ def test_nmad_scales_and_empty_bins_stay(spark):
     assert [b.n for b in bins] == [6, 2, 0] and bins[2].nmad is None
 
 
+def joins(df, column):
+    """The kinds of the planned joins that compare ``column``; small inputs are what the optimiser would broadcast."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [line.split("Join")[0].split()[-1] + "Join" for line in plan.splitlines() if "Join" in line and column in line.split("Join")[1]]
+
+
+def test_spatial_variogram_merges_places(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, float(a), float(b), None if i % 17 == 0 else float(c)) for i, (a, b, c) in enumerate(np.column_stack([rng.integers(-6, 7, (300, 2)), rng.normal(1000, 5, 300)]))]
+    out = variograms.spatial_variogram(spark.createDataFrame(rows, "id int, k int, x double, y double, z double"), ["k"], 4.0, 4)
+    want = {}
+    for i, k, x, y, z in rows:
+        for j, k2, x2, y2, z2 in rows[i + 1 :]:
+            d = np.hypot(x - x2, y - y2)
+            if k == k2 and 0 < d <= 4:
+                want.setdefault((k, float(np.ceil(d))), []).append(None if z is None or z2 is None else (z - z2) ** 2)
+    got = {(r.k, r.lag): r for r in out.collect()}
+    assert {g: r.n for g, r in got.items()} == {g: len(v) for g, v in want.items()}
+    assert all(r.gamma == pytest.approx(np.mean([v for v in want[g] if v is not None]) / 2) for g, r in got.items())
+
+
+def test_spatial_variogram_deals_dense_cells_and_broadcasts_none(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id", "1 AS k", "double(id % 20) AS x", "double(id div 20) AS y", "double(id * id % 97) AS z")
+    out = variograms.spatial_variogram(df, ["k"], 9.0, 3)
+    assert set(joins(out, "_cx")) == {"SortMergeJoin"}
+    whole = {r.lag: (r.gamma, r.n) for r in out.collect()}
+    monkeypatch.setattr(variograms, "PART", 7)
+    dealt = {r.lag: (r.gamma, r.n) for r in variograms.spatial_variogram(df, ["k"], 9.0, 3).collect()}
+    assert len(whole) == 3 and dealt == {lag: (pytest.approx(g), n) for lag, (g, n) in whole.items()}
+
+
 def test_variogram_windows_overlap(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 2.0, 4.0), (1, 2, 3.0, 6.0)], "pixel int, obs_id int, t double, z double")
     got = {r.lag: (r.gamma, r.n) for r in variograms.temporal_variogram(df, ["pixel"], 1.0, 4.0).collect()}
