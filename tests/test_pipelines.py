@@ -69,6 +69,15 @@ def test_variograms_by_bin_and_of_points(spark):
     assert by_region.count() == every.count() > 4
 
 
+def test_correlation_of_points_broadcasts_none_of_them(spark, tmp_path):
+    pts = spark.range(300).selectExpr("id", "1 AS reg", "0 AS date", "double(id % 10) AS dt", "45 + id % 17 / 1000D AS lat", "10 + id % 19 / 1000D AS lon", "double(id * id % 97) AS dh")
+    pts.write.parquet(f"{tmp_path}/points")  # the optimiser knows a file's size and would broadcast its copies
+    by_region, _ = pipelines.interpolation_correlation(spark.read.parquet(f"{tmp_path}/points"), [0.0, 5.0, 10.0], [500.0, 2000.0], 4)
+    plan = by_region._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert [x for x in plan if "SortMergeJoin" in x and "_cx" in x] and not [x for x in plan if "BroadcastHashJoin" in x and "_cx" in x]
+    assert {(r.cutoff, r.nb_dt) for r in by_region.collect()} == {(c, b) for c in (500.0, 2000.0) for b in by_region.select("nb_dt").distinct().toPandas()["nb_dt"]}
+
+
 def test_altimetry(spark):
     cube = spark.createDataFrame([(x, y, float(t), 100.0 + x + t, 2.0) for x in range(3) for y in range(3) for t in (0, 200)], "px int, py int, t double, z double, z_ci double")
     points = spark.createDataFrame([(1, 95.0, 5.0, 5.0, 205.0), (2, 95.0, 5.0, 5.0, -300.0), (3, 60.0, 5.0, 5.0, 1.0)], "id int, utc_day double, x double, y double, elev double")
