@@ -18,12 +18,15 @@ def _cells(box: Column, size: float) -> Column:
 def points_in_features(points: DataFrame, features: DataFrame, size: float, x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:
     """points joined with the features whose ring holds them.
 
-    Features are dealt into the cells of ``size`` that they touch, points into their own: the exact test
-    runs on those that meet, not on all pairs.
+    Features are dealt into the cells of ``size`` that they touch, places into their own: the exact test
+    runs once a place and feature whose box holds it, not on all pairs of points and features. How many cells the features
+    touch is not known before, so both joins are by sorting, not by a broadcast.
     """
-    f = features.withColumn("_cell", _cells(geo.ring_extent(F.col(ring)), size))
-    p = points.withColumn("_cell", F.struct(F.floor(F.col(x) / size).alias("i"), F.floor(F.col(y) / size).alias("j")))
-    return p.join(f, "_cell").where(geo.in_ring(F.col(x), F.col(y), F.col(ring))).drop("_cell")
+    f = features.withColumn("_box", geo.ring_extent(F.col(ring))).withColumn("_cell", _cells(F.col("_box"), size))
+    places = points.select(x, y).distinct().withColumn("_cell", F.struct(F.floor(F.col(x) / size).alias("i"), F.floor(F.col(y) / size).alias("j")))
+    near = F.col(x).between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col(y).between(F.col("_box.ymin"), F.col("_box.ymax"))
+    hits = places.join(f.hint("merge"), "_cell").where(near & geo.in_ring(F.col(x), F.col(y), F.col(ring))).drop("_cell", "_box")
+    return points.join(hits.hint("merge"), [x, y])
 
 
 def raster_mask(pixels: DataFrame, features: DataFrame, size: float, keys: list[str]) -> DataFrame:

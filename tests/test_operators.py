@@ -187,6 +187,22 @@ def test_spatial_variogram_deals_dense_cells_and_broadcasts_none(spark, monkeypa
     assert len(whole) == 3 and dealt == {lag: (pytest.approx(g), n) for lag, (g, n) in whole.items()}
 
 
+def test_points_in_features_share_places_and_broadcast_no_cells(spark, tmp_path):
+    spark.range(500).selectExpr("id", "double(id % 25) / 2 AS x", "double(id % 40) / 4 AS y").write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    rings = {1: [(0, 0), (3, 0.5), (4, 3), (2, 2), (0.5, 4)], 2: [(5, 5), (11, 5), (11, 9.5), (5, 9.5)], 3: [(1, 1), (12, 9), (1, 9)]}
+    spark.createDataFrame([(k, [(float(a), float(b)) for a, b in ring]) for k, ring in rings.items()], "rgiid int, ring array<struct<x: double, y: double>>").write.parquet(f"{tmp_path}/features")
+    features = spark.read.parquet(f"{tmp_path}/features")
+    out = geometry.points_in_features(points, features, 1.5).select("id", "rgiid")
+
+    def inside(x, y, ring):
+        return sum((y0 > y) != (y1 > y) and x < x0 + (y - y0) / (y1 - y0) * (x1 - x0) for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2
+
+    want = {(p.id, k) for p in points.collect() for k, ring in rings.items() if inside(p.x, p.y, ring)}
+    assert sorted((r.id, r.rgiid) for r in out.collect()) == sorted(want) and len(want) > 100
+    assert set(joins(out, "_cell")) == {"SortMergeJoin"} and "BroadcastHashJoin" not in joins(out, "x")
+
+
 def test_variogram_windows_overlap(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 2.0, 4.0), (1, 2, 3.0, 6.0)], "pixel int, obs_id int, t double, z double")
     got = {r.lag: (r.gamma, r.n) for r in variograms.temporal_variogram(df, ["pixel"], 1.0, 4.0).collect()}
