@@ -201,6 +201,8 @@ def test_points_in_features_share_places_and_broadcast_no_cells(spark, tmp_path)
     want = {(p.id, k) for p in points.collect() for k, ring in rings.items() if inside(p.x, p.y, ring)}
     assert sorted((r.id, r.rgiid) for r in out.collect()) == sorted(want) and len(want) > 100
     assert set(joins(out, "_cell")) == {"SortMergeJoin"} and "BroadcastHashJoin" not in joins(out, "x")
+    mask = geometry.mask_of(points, features, 1.5, "rgiid", 2, exclude=True, keys=("id",))
+    assert sorted(r.id for r in mask.collect()) == sorted({i for i, k in want if k != 2}) and set(joins(mask, "_cell")) == {"SortMergeJoin"}
 
 
 def test_variogram_windows_overlap(spark):
