@@ -48,6 +48,15 @@ def test_few_points_and_nulls(spark):
     assert got[2].slope is None and got[3].n == 3 and got[3].x_max == 2.0  # dates of the pixel's own valid observations
 
 
+def test_lines_of_one_date_are_void_whatever_the_weights(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, float(t), float(z), float(w)) for k, (t, z, w) in enumerate(rng.uniform(0.1, 20, (200, 3)))] + [(k, 7.7, float(k), float(w)) for k, w in zip([900] * 5 + [901] * 3, rng.uniform(0.001, 0.1, 8), strict=True)]
+    df = spark.createDataFrame(rows, "k long, t double, z double, w double")
+    for got in (regression.wls(df, ["k"]), regression.ls(df, ["k"], w="w")):
+        assert got.where("slope IS NOT NULL OR slope_ci IS NOT NULL OR intercept IS NOT NULL").count() == 0 and got.count() == 202
+    assert regression.wls(df, ["k"]).where("sxx <> 0").count() == 0
+
+
 def test_filtered_line_drops_points_outside_the_band(spark):
     x, y, w = line_data(30)
     y[7] += 40
