@@ -172,14 +172,21 @@ def ring_centroid(ring: Column) -> Column:
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point lies inside (even-odd rule; a point on a lower or left edge counts as inside)."""
+    """Whether a point lies inside (even-odd rule; a point on a lower or left edge counts as inside).
 
-    def crosses(acc, p, q):
-        spans = (p["y"] > y) != (q["y"] > y)
-        at = p["x"] + (y - p["y"]) / F.when(q["y"] == p["y"], F.lit(None)).otherwise(q["y"] - p["y"]) * (q["x"] - p["x"])
-        return F.when(spans & (x < at), ~acc).otherwise(acc)
+    The point and the ring reach the edges as one value: a lambda that named columns itself could lose them in a join's
+    condition, as Spark 4.1 numbers lambda variables anew from 0 there and takes a column of the same number for one of them.
+    """
 
-    return _edges(ring, F.lit(False), crosses)
+    def inside(s: Column) -> Column:
+        def crosses(acc, p, q):
+            spans = (p["y"] > s["y"]) != (q["y"] > s["y"])
+            at = p["x"] + (s["y"] - p["y"]) / F.when(q["y"] == p["y"], F.lit(None)).otherwise(q["y"] - p["y"]) * (q["x"] - p["x"])
+            return F.when(spans & (s["x"] < at), ~acc).otherwise(acc)
+
+        return _edges(s["ring"], F.lit(False), crosses)
+
+    return _let(F.struct(x.alias("x"), y.alias("y"), ring.alias("ring")), inside)
 
 
 def buffered_area_ratio(ring: Column, distance: float) -> Column:

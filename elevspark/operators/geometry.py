@@ -22,16 +22,24 @@ def points_in_features(points: DataFrame, features: DataFrame, size: float, x: s
     runs once a place and feature whose box holds it, not on all pairs of points and features. How many cells the features
     touch is not known before, so both joins are by sorting, not by a broadcast.
     """
+    return points.join(_places_in_features(points, features, size, x, y, ring).hint("merge"), [x, y])
+
+
+def _places_in_features(points: DataFrame, features: DataFrame, size: float, x: str, y: str, ring: str) -> DataFrame:
+    """The distinct places of points joined with the features whose ring holds them."""
     f = features.withColumn("_box", geo.ring_extent(F.col(ring))).withColumn("_cell", _cells(F.col("_box"), size))
     places = points.select(x, y).distinct().withColumn("_cell", F.struct(F.floor(F.col(x) / size).alias("i"), F.floor(F.col(y) / size).alias("j")))
     near = F.col(x).between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col(y).between(F.col("_box.ymin"), F.col("_box.ymax"))
-    hits = places.join(f.hint("merge"), "_cell").where(near & geo.in_ring(F.col(x), F.col(y), F.col(ring))).drop("_cell", "_box")
-    return points.join(hits.hint("merge"), [x, y])
+    return places.join(f.hint("merge"), "_cell").where(near & geo.in_ring(F.col(x), F.col(y), F.col(ring))).drop("_cell", "_box")
 
 
 def raster_mask(pixels: DataFrame, features: DataFrame, size: float, keys: list[str]) -> DataFrame:
-    """The pixels (by their centres x, y) that lie in any feature; each once."""
-    return points_in_features(pixels, features, size).select(*keys).distinct()
+    """The pixels (by their centres x, y) that lie in any feature; each once.
+
+    Whether a place lies in any is settled on places and distinct rings, so that no pixel is repeated for each feature that holds it.
+    """
+    hits = _places_in_features(pixels, features.select("ring").distinct(), size, "x", "y", "ring").select("x", "y").distinct()
+    return pixels.join(hits.hint("merge"), ["x", "y"], "left_semi").select(*keys).distinct()
 
 
 def mask_of(pixels: DataFrame, features: DataFrame, size: float, ident: str, value, exclude: bool = False, keys: tuple[str, ...] = ("px", "py")) -> DataFrame:

@@ -1,4 +1,7 @@
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -79,6 +82,24 @@ def test_polygons(spark):
     assert r.b == pytest.approx((12 + math.pi) / 8 * 100)
 
 
+def test_ring_test_keeps_its_columns_in_a_new_session():
+    """The first columns of a session have the numbers that Spark gives lambda variables when it compares expressions."""
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from elevspark.functions import geo
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+points = spark.range(8).select("id", *[(F.col("id") + 0.5).alias(f"c{k}") for k in range(24)])
+features = spark.range(2).select(F.col("id").alias("f"), geo.ring_of_box(F.lit(0), F.lit(0), 3 + F.col("id"), 9 + F.col("id")).alias("ring"))
+for k in range(23):
+    met = points.join(features, F.col("id") >= F.col("f")).where(geo.in_ring(F.col(f"c{k}"), F.col(f"c{k + 1}"), F.col("ring")))
+    assert [tuple(r) for r in met.select("f", "id").sort("f", "id").collect()] == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (1, 3)], k
+"""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=here, env=os.environ | {"PYTHONPATH": here}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr[-2000:]
+
+
 def test_dates(spark):
     names = ["AST_L1A_00307092013101112_z", "SETSM_a_20130709_b", "aerodem_19850101_x", "SETSM_a_2013139_b", "other_x_20130101", "AST_x", ""]
     got = [r.t for r in spark.createDataFrame([(n,) for n in names], "n string").select(scene_date(F.col("n")).alias("t")).collect()]

@@ -214,6 +214,14 @@ def test_points_in_features_share_places_and_broadcast_no_cells(spark, tmp_path)
     assert sorted(r.id for r in mask.collect()) == sorted({i for i, k in want if k != 2}) and set(joins(mask, "_cell")) == {"SortMergeJoin"}
 
 
+def test_mask_repeats_no_pixel_for_each_feature(spark):
+    pixels = spark.range(400).selectExpr("id", "double(id % 20) / 2 AS x", "double(id % 10) AS y")
+    ring = F.array(*[F.struct((F.col("id") % 3 + a).cast("double").alias("x"), F.lit(b).alias("y")) for a, b in ((0, 0.0), (4, 0.0), (4, 6.0), (0, 6.0))])
+    mask = geometry.raster_mask(pixels, spark.range(90).select(ring.alias("ring")), 2.0, ["id"])
+    assert sorted(r.id for r in mask.collect()) == [i for i in range(400) if i % 20 / 2 < 6 and i % 10 < 6]
+    assert "LeftSemi" in next(line for line in mask._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line)
+
+
 def test_variogram_windows_overlap(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 2.0, 4.0), (1, 2, 3.0, 6.0)], "pixel int, obs_id int, t double, z double")
     got = {r.lag: (r.gamma, r.n) for r in variograms.temporal_variogram(df, ["pixel"], 1.0, 4.0).collect()}
