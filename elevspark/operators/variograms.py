@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .error_model import nmad_by
@@ -46,19 +49,30 @@ def temporal_variogram_median(df: DataFrame, keys: list[str], step: float, cutof
 PART = 4096
 
 
+def pow_distance(dx: Column, dy: Column) -> Column:
+    """sqrt(pow(dx, 2) + pow(dy, 2)) by the C library's ``pow``, as SQL engines compute it: not always the rounded squares, which Java's gives."""
+
+    @F.arrow_udf("double")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if u is None or v is None else math.sqrt(math.pow(u, 2.0) + math.pow(v, 2.0)) for u, v in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+    return distance.asNondeterministic()(dx, dy)  # else a filter of its result is pushed below the grouping before it, onto every pair
+
+
 def spatial_variogram(df: DataFrame, keys: list[str], cutoff: float, lags: int, x: str = "x", y: str = "y", z: str = "z", order: str = "id", least: int = 10) -> DataFrame:
     """keys, lag (upper edge), gamma, n of groups with more than ``least`` points, whose ``order`` tells them apart.
 
     Points of one place (no pair, being at distance zero) become its count, mean and variance, which give the sums over
     the pairs of two places without their pairs. Pairs further apart than ``cutoff`` never meet: places are dealt into cells of
     that size and join with their own and four of the eight around. Neither side's size is known before it is made, so
-    the joins are by sorting, not by a broadcast.
+    the joins are by sorting, not by a broadcast. Distances that lie on the edge of a lag but for their last digits are
+    kept apart in the sums and settled by :func:`pow_distance`.
     """
     big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*keys)
     df = df.join(big, keys, "left_semi").select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(z).cast("double").alias("_z"), F.col(order).alias("_o"))
     df = df.where(F.col("_o").isNotNull() & (F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")))
     places = df.groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_n"), F.count("_z").alias("_m"), F.avg("_z").alias("_a"), F.var_pop("_z").alias("_v"))
-    cell = lambda c: F.floor(F.col(c) / cutoff)
+    cell = lambda c: F.floor(F.col(c) / (cutoff * 1.000001))  # noqa: E731  # a distance that only rounds to the cutoff meets too
     at = [*keys, "_cx", "_cy"]
     a = places.withColumn("_cx", cell("_x")).withColumn("_cy", cell("_y"))
     parts = a.groupBy(*at).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")).hint("merge")
@@ -69,11 +83,15 @@ def spatial_variogram(df: DataFrame, keys: list[str], cutoff: float, lags: int,
     a, b = (dealt(side, [*at, "_part"]) for side in (a, b))
     dx, dy, da = F.col("_x") - F.col("_x2"), F.col("_y") - F.col("_y2"), F.col("_a") - F.col("_a2")
     once = ~F.col("_own") | (F.col("_x") < F.col("_x2")) | ((F.col("_x") == F.col("_x2")) & (F.col("_y") < F.col("_y2")))
-    pairs = a.join(b.hint("merge"), [*at, "_part"]).withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(once & (F.col("_d") <= cutoff) & (F.col("_d") > 0))
-    valid = F.col("_m") * F.col("_m2")
-    lag = F.ceil(F.col("_d") / (cutoff / lags)).cast("int")
-    g = pairs.groupBy(*keys, lag.alias("lag")).agg(F.sum(valid * (da * da + F.col("_v") + F.col("_v2"))).alias("_sq"), F.sum(valid).alias("_valid"), F.sum(F.col("_n") * F.col("_n2")).alias("n"))
-    return g.select(*keys, (F.col("lag") * (cutoff / lags)).alias("lag"), (F.try_divide("_sq", "_valid") / 2).alias("gamma"), "n")
+    width, d, valid = cutoff / lags, F.col("_d"), F.col("_m") * F.col("_m2")
+    pairs = a.join(b.hint("merge"), [*at, "_part"]).withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(once & (d <= cutoff * (1 + 2e-15)))
+    edge = F.abs(d / width - F.rint(d / width)) <= 4e-15 * d / width  # the two distances are 5e-16 apart at most
+    lag = lambda c: F.ceil(c / width).cast("int")
+    g = pairs.groupBy(*keys, F.when(~edge, lag(d)).alias("lag"), F.when(edge, F.abs(dx)).alias("_dx"), F.when(edge, F.abs(dy)).alias("_dy"))
+    g = g.agg(F.sum(valid * (da * da + F.col("_v") + F.col("_v2"))).alias("_sq"), F.sum(valid).alias("_valid"), F.sum(F.col("_n") * F.col("_n2")).alias("n"))
+    g = g.withColumn("_d", pow_distance(F.col("_dx"), F.col("_dy"))).where(d.isNull() | ((d <= cutoff) & (d > 0)))
+    g = g.groupBy(*keys, F.coalesce("lag", lag(d)).alias("lag")).agg(*[F.sum(c).alias(c) for c in ("_sq", "_valid", "n")])
+    return g.select(*keys, (F.col("lag") * width).alias("lag"), (F.try_divide("_sq", "_valid") / 2).alias("gamma"), "n")
 
 
 def aggregate_variograms(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators on small inputs: closed forms, invariances, and the choices where the published workflow is ambiguous."""
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -196,6 +198,21 @@ def test_spatial_variogram_deals_dense_cells_and_broadcasts_none(spark, monkeypa
     assert len(whole) == 3 and dealt == {lag: (pytest.approx(g), n) for lag, (g, n) in whole.items()}
 
 
+def test_spatial_variogram_settles_edges_as_the_sql_does(spark):
+    grid = [((k * 37 % 1700 / 10 - 85) * 100, (k * 91 % 3600 / 10 - 180) * 100) for k in range(61200) if k * 37 % 1700 < 150 and k * 91 % 3600 < 150]
+    grid += [(-4090.0000000000005, -4079.9999999999995), (-4369.999999999999, -5040.0), (7639.999999999998, -6559.999999999999), (7080.000000000001, -8480.0)]  # a lag apart with plain products
+    rows = [(i, 1, x, y, float(i * i % 97)) for i, (x, y) in enumerate([*grid, (-1e-20, 9000.0), (2500.0, 9000.0), (-1e-20, 9e5), (2500.0000000000005, 9e5)])]
+    df = spark.createDataFrame(rows, "id int, k int, x double, y double, z double")
+    con = duckdb.connect()
+    con.register("p", pd.DataFrame(rows, columns=["id", "k", "x", "y", "z"]))
+    sql = "SELECT ceil(d / 250) * 250 AS lag, count(*), avg(sq) / 2 FROM (SELECT {} AS d, (a.z - b.z) * (a.z - b.z) AS sq FROM p a JOIN p b ON a.id < b.id) WHERE d <= 2500 AND d > 0 GROUP BY lag"
+    want, plain = ({lag: (n, pytest.approx(v)) for lag, n, v in con.execute(sql.format(d)).fetchall()} for d in ("sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))", "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"))
+    out = variograms.spatial_variogram(df, ["k"], 2500.0, 10)
+    assert {r.lag: (r.n, r.gamma) for r in out.collect()} == want and {k: v[0] for k, v in want.items()} != {k: v[0] for k, v in plain.items()}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Aggregate" in plan.split("ArrowEvalPython")[1].split("SortMergeJoin")[0]  # of sums, not of pairs
+
+
 def test_points_in_features_share_places_and_broadcast_no_cells(spark, tmp_path):
     spark.range(500).selectExpr("id", "double(id % 25) / 2 AS x", "double(id % 40) / 4 AS y").write.parquet(f"{tmp_path}/points")
     points = spark.read.parquet(f"{tmp_path}/points")
