@@ -55,7 +55,7 @@ k AS (SELECT grp FROM s GROUP BY grp HAVING count(*) > 10), p AS (
 ) SELECT CAST(grp AS BIGINT) AS grp, {r('ceil(dist / 250) * 250')} AS lag, {r('avg(sq) / 2', 3)} AS gamma, count(*) AS n FROM p WHERE dist <= 2500 AND dist > 0 GROUP BY grp, ceil(dist / 250)""")
 def spatial_variogram(spark, d):
     p = points(spark, d).select((F.year("t") * 100 + F.month("t")).alias("grp"), "id", (F.col("lat") * 100).alias("y"), (F.col("lon") * 100).alias("x"), (F.col("h") / 1000).alias("z"))
-    return rounded(variograms.spatial_variogram(p, ["grp"], 2500.0, 10), 3)
+    return rounded(variograms.spatial_variogram(p, ["grp"], 2500.0, 10, as_pow=True), 3)
 
 
 @query("variogram_aggregate", f"""WITH {OBS}, {PAIRS}, v AS (SELECT pixel, lag, CASE WHEN pixel % 9 <> 0 THEN avg(sq) / 2 END AS exp, count(*) AS c FROM pairs GROUP BY pixel, lag)

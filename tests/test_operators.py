@@ -207,7 +207,7 @@ def test_spatial_variogram_settles_edges_as_the_sql_does(spark):
     con.register("p", pd.DataFrame(rows, columns=["id", "k", "x", "y", "z"]))
     sql = "SELECT ceil(d / 250) * 250 AS lag, count(*), avg(sq) / 2 FROM (SELECT {} AS d, (a.z - b.z) * (a.z - b.z) AS sq FROM p a JOIN p b ON a.id < b.id) WHERE d <= 2500 AND d > 0 GROUP BY lag"
     want, plain = ({lag: (n, pytest.approx(v)) for lag, n, v in con.execute(sql.format(d)).fetchall()} for d in ("sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))", "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"))
-    out = variograms.spatial_variogram(df, ["k"], 2500.0, 10)
+    out = variograms.spatial_variogram(df, ["k"], 2500.0, 10, as_pow=True)
     assert {r.lag: (r.n, r.gamma) for r in out.collect()} == want and {k: v[0] for k, v in want.items()} != {k: v[0] for k, v in plain.items()}
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Aggregate" in plan.split("ArrowEvalPython")[1].split("SortMergeJoin")[0]  # of sums, not of pairs
